@@ -98,7 +98,7 @@ def knn_recommend(
     scores = (
         wanted.join(neighbors.select(*by, ITEM, "similar_item_id", "score"), [*by, ITEM])
         .groupBy(*by, USER, F.col("similar_item_id").alias(ITEM))
-        .agg(steady(F.sum(F.col("_x") * F.col("score")), 8).alias("score"))
+        .agg(steady(F.sum(F.col("_x") * F.col("score"))).alias("score"))
     )
     if not keep_seen:
         scores = scores.join(own.select(*by, USER, ITEM), [*by, USER, ITEM], "left_anti")

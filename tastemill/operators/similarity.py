@@ -136,7 +136,7 @@ def predict_ratings(
     )
     joined = cands.join(sums, [USER, ITEM], "left")
     if score == "sum":
-        return joined.select(USER, ITEM, steady(F.coalesce("_sum", F.lit(0.0)), 8).alias("score"))
+        return joined.select(USER, ITEM, steady(F.coalesce("_sum", F.lit(0.0))).alias("score"))
     if score != "centered":
         raise ValueError(f"unknown score {score!r}")
     means = history.groupBy(USER).agg(F.max("mean_user_rating").alias("_mean"))

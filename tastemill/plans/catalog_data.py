@@ -667,7 +667,7 @@ SAMPLE_CTES = {
     "extra_recs": (
         """select user_id, item_id from (select *, row_number() over (partition by user_id
         order by score desc, item_id) as rn from (select p.user_id, n.j as item_id,
-        floor(sum(n.score) * 1e8 + 0.5) / 1e8 as score from pos p join lacking using (user_id)
+        floor(sum(n.score) * 1e9 + 0.5) / 1e9 as score from pos p join lacking using (user_id)
         join pos_nbr n on n.i = p.item_id group by p.user_id, n.j) s
         anti join pos p on p.user_id = s.user_id and p.item_id = s.item_id) where rn <= 20""",
         ("pos", "lacking", "pos_nbr"),

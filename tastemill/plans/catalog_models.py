@@ -191,7 +191,7 @@ for _kind in knn.WEIGHTINGS:
 def _recs_sql(source: str, nbr: str, k: int) -> str:
     return f"""select user_id, item_id, score, row_number() over (partition by user_id
         order by score desc, item_id) as rank from (select h.user_id, n.similar_item_id as item_id,
-        {rounded('sum(n.score)', 8)} as score from {source} h join {nbr} n using (item_id) group by 1, 2) s
+        {rounded('sum(n.score)', 9)} as score from {source} h join {nbr} n using (item_id) group by 1, 2) s
         where not exists (select 1 from {source} h where h.user_id = s.user_id and h.item_id = s.item_id)
         qualify rank <= {k}"""
 
@@ -338,7 +338,7 @@ def _sim_ctes(support: int) -> dict:
         ),
         "scores": (
             f"""select user_id, item_id, {rounded('m + case when den > 1e-8 then num / den else 0 end', 8)} as score,
-            {rounded('tot', 8)} as total from cands join sums using (user_id, item_id) join means using (user_id)""",
+            {rounded('tot', 9)} as total from cands join sums using (user_id, item_id) join means using (user_id)""",
             ("cands", "sums", "means"),
         ),
     }
@@ -776,7 +776,7 @@ def _cv_ctes(model: str) -> dict:
             "cv_recs": (
                 f"""select fold, user_id, item_id, row_number() over (partition by fold, user_id
                 order by score desc, item_id) as rank from (select h.fold, h.user_id, n.j as item_id,
-                {rounded('sum(n.score)', 8)} as score from cv_pos h join cv_users using (fold, user_id)
+                {rounded('sum(n.score)', 9)} as score from cv_pos h join cv_users using (fold, user_id)
                 join cv_nbr n on n.fold = h.fold and n.i = h.item_id group by all) s
                 where not exists (select 1 from cv_pos h where h.fold = s.fold
                 and h.user_id = s.user_id and h.item_id = s.item_id) qualify rank <= 10""",
