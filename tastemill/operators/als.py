@@ -13,7 +13,7 @@ from tastemill.operators.blocks import top_per_group
 from tastemill.operators.features import dense_ids
 from tastemill.operators.labels import select_pos
 from tastemill.schema import ITEM, USER
-from tastemill.session import ensure_checkpoint_dir
+from tastemill.session import ensure_checkpoint_dir, stored
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,8 @@ def als_fit(
     ensure_checkpoint_dir(df.sparkSession)
     rows = select_pos(df)
     value = F.lit(1.0) if weight is None else quantize(weight, quant).cast("float")
-    users = dense_ids(rows, USER, "u")
-    items = dense_ids(rows, ITEM, "i")
+    users = stored(dense_ids(rows, USER, "u"))
+    items = stored(dense_ids(rows, ITEM, "i"))
     ratings = (
         rows.select(USER, ITEM, value.alias("rating"))
         .join(users, USER)
@@ -65,7 +65,7 @@ def als_fit(
         checkpointInterval=5,
         coldStartStrategy="drop",
     )
-    return AlsFit(als.fit(ratings), users, items)
+    return AlsFit(als.fit(stored(ratings)), users, items)
 
 
 def als_recommend(fit: AlsFit, users: DataFrame, seen: DataFrame | None, k: int = 10) -> DataFrame:
@@ -75,15 +75,17 @@ def als_recommend(fit: AlsFit, users: DataFrame, seen: DataFrame | None, k: int
     served in tiers whose histories differ by less than a factor of two, so one user with a huge
     history does not lengthen the lists of the others.
     """
-    wanted = users.select(USER).distinct().join(fit.users, USER)
+    wanted = stored(users.select(USER).distinct().join(fit.users, USER))
     if seen is None:
         tiers = [(0, wanted)]
     else:
         counts = (
             seen.join(wanted.select(USER), USER, "left_semi").groupBy(USER).agg(F.count("*").alias("_n"))
         )
-        tiered = wanted.join(counts, USER, "left").withColumn(
-            "_tier", F.ceil(F.log2(F.coalesce("_n", F.lit(0)) + 1)).cast("int")
+        tiered = stored(
+            wanted.join(counts, USER, "left").withColumn(
+                "_tier", F.ceil(F.log2(F.coalesce("_n", F.lit(0)) + 1)).cast("int")
+            )
         )
         found = sorted(r["_tier"] for r in tiered.select("_tier").distinct().collect())
         tiers = [(t, tiered.filter(F.col("_tier") == t)) for t in found]

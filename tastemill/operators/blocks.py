@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.session import cut_lineage
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows; at most HOT_SHARE keys can.
-HOT_SHARE = 512
-HOT_SALTS = 64
+SALTS = 8  # parts per key in joins of rows with per-key statistics
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
@@ -77,29 +75,17 @@ def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFr
 
 
 def attach_by_key(
-    rows: DataFrame, stats: DataFrame, on: Sequence[str], size: str, how: str = "inner"
+    rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join one-row-per-key `stats` to `rows`, where `size` counts the rows of each key.
+    """Join one-row-per-key `stats` to `rows` on (key, salt): a key's rows go to SALTS parts.
 
-    Keys above 1/HOT_SHARE of all rows are spread over HOT_SALTS parts. There are at most
-    HOT_SHARE of them whatever the data, which bounds both the broadcast set of hot keys and the
-    extra copies of their statistics.
+    The result is not partitioned by the key, so a later aggregate shuffles partial sums and
+    AQE stays free to cut a part that is still too large (a key may hold a third of all rows).
     """
     on = list(on)
-    total = stats.agg(F.sum(size)).scalar()
-    hot = stats.filter(F.col(size) * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot"))
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SALTS))).otherwise(0)
-    copies = F.when(
-        F.col(size) * HOT_SHARE > F.col("_total"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))
-    ).otherwise(F.array(F.lit(0)))
-    left = (
-        rows.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", spread.cast("int"))
-        .drop("_hot")
-    )
-    right = (
-        stats.withColumn("_total", total).withColumn("_salt", F.explode(copies)).drop("_total")
-    )
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    salts = F.array(*(F.lit(n) for n in range(SALTS)))
+    right = stats.withColumn("_salt", F.explode(salts))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -122,8 +108,7 @@ def group_pairs(
     group = list(group)
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk)
     rows = (
-        df.select(*group, item, *values)
-        .join(sizes, group, "left")
+        attach_by_key(df.select(*group, item, *values), sizes, group, "left")
         .withColumn("_chunks", F.coalesce(F.ceil(F.col("_n") / chunk), F.lit(1)).cast("int"))
         .withColumn("_c", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int"))
         .drop("_n")

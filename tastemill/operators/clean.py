@@ -107,11 +107,7 @@ def fill_item_features(df: DataFrame, genres: str = "genre_unknown", year: str =
 
 def center_ratings(df: DataFrame) -> DataFrame:
     """Add each user's mean rating and the rating less that mean."""
-    means = df.groupBy(USER).agg(
-        F.avg(RATING).alias("mean_user_rating"), F.count("*").alias("_n")
-    )
-    return (
-        attach_by_key(df, means, [USER], "_n")
-        .drop("_n")
-        .withColumn("norm_rating", F.col(RATING) - F.col("mean_user_rating"))
+    means = df.groupBy(USER).agg(F.avg(RATING).alias("mean_user_rating"))
+    return attach_by_key(df, means, [USER]).withColumn(
+        "norm_rating", F.col(RATING) - F.col("mean_user_rating")
     )

@@ -16,6 +16,7 @@ from tastemill.functions.expressions import quantize
 from tastemill.operators.features import feature_lists
 from tastemill.operators.vectors import block_topk
 from tastemill.schema import ITEM, TARGET, USER
+from tastemill.session import stored
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,8 @@ def hybrid_fit(
     fm = FMClassifier(
         factorSize=factors, maxIter=iterations, stepSize=step, solver="adamW", seed=seed
     )
-    return HybridFit(fm.fit(train.select("features", "label")), u, i, slots)
+    # Every iteration reads the samples.
+    return HybridFit(fm.fit(stored(train.select("features", "label"))), u, i, slots)
 
 
 def side_vectors(fit: HybridFit, side: str, keys: DataFrame | None = None) -> DataFrame:

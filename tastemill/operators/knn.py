@@ -17,6 +17,7 @@ from tastemill.operators.blocks import (
 )
 from tastemill.operators.labels import select_pos
 from tastemill.schema import ITEM, RANK, USER
+from tastemill.session import stored
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -38,26 +39,26 @@ def knn_weights(
     value: Column = F.col("_x")
     if weighting != "cosine":
         users = rows.groupBy(*by, USER).agg(F.count("*").alias("_items_of_user"))
-        items = rows.groupBy(*by, ITEM).agg(F.sum("_x").alias("_len"), F.count("*").alias("_n"))
+        items = rows.groupBy(*by, ITEM).agg(F.sum("_x").alias("_len"))
         totals = items.groupBy(*by).agg(
             F.count("*").cast("double").alias("_items"), F.avg("_len").alias("_avg_len")
         )
-        rows = attach_by_key(rows, users, [*by, USER], "_items_of_user")
+        rows = attach_by_key(rows, users, [*by, USER])
         rows = attach_totals(rows, totals, by)
         idf = F.ln(F.col("_items") / (1 + F.col("_items_of_user")))
         if weighting == "tfidf":
             value = F.sqrt("_x") * idf
         else:
-            rows = attach_by_key(rows, items, [*by, ITEM], "_n")
+            rows = attach_by_key(rows, items, [*by, ITEM])
             scale = BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("_avg_len"))
             value = F.col("_x") * (BM25_K1 + 1) / (F.col("_x") + scale) * idf
     rows = rows.select(*by, USER, ITEM, value.alias("w"))
     if weighting == "bm25":
         return rows
     norms = rows.groupBy(*by, ITEM).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), F.count("*").alias("_n")
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")
     )
-    return attach_by_key(rows, norms, [*by, ITEM], "_n").select(
+    return attach_by_key(rows, norms, [*by, ITEM]).select(
         *by, USER, ITEM, F.coalesce(F.try_divide("w", "_norm"), F.lit(0.0)).alias("w")
     )
 
@@ -69,9 +70,12 @@ def item_knn(
     weight: str | None = None,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """The k most similar other items of each item: (item_id, similar_item_id, score, rank)."""
+    """The k most similar other items of each item: (item_id, similar_item_id, score, rank).
+
+    The weights are written once, since both sides of the pairs read them.
+    """
     by = list(by)
-    weights = knn_weights(df, weighting, weight, by)
+    weights = stored(knn_weights(df, weighting, weight, by))
     pairs = group_pairs(
         weights, [*by, USER], ITEM, ["w"], {"score": F.sum(F.col("w_i") * F.col("w_j"))}
     )

@@ -32,7 +32,7 @@ def _with_verdict(df: DataFrame, stats: DataFrame, rule: str, by: Sequence[str])
         raise ValueError(f"unknown rule {rule!r}")
     below = F.when(F.col(RATING).isNotNull(), F.col(RATING) < F.col("avg_user_rating")).otherwise(low)
     known = F.col("num_interacted_items").isNotNull()
-    return attach_by_key(df, stats, [*by, USER], "num_interacted_items", "left").withColumn(
+    return attach_by_key(df, stats, [*by, USER], "left").withColumn(
         "_neg", known & F.coalesce(below, F.lit(False))
     ).drop("num_interacted_items", "mean_user_progress", "avg_user_rating")
 
@@ -73,7 +73,7 @@ def label(
         .cast("array<tinyint>")
     )
     return (
-        judged.join(lonely, keys, "left")
+        attach_by_key(judged, lonely, keys, "left")
         .withColumn(TARGET, F.explode(target))
         .drop("_neg", "_lonely")
     )
@@ -145,7 +145,7 @@ def make_triplets(samples: DataFrame) -> DataFrame:
     totals = neg.groupBy(USER).agg(F.count("*").alias("_total"))
     p = ordinal_rank(pos, [F.asc("pos_item")], "_p", within=[USER])
     n = ordinal_rank(neg, [F.asc("neg_item")], "_n", within=[USER])
-    turns = p.join(totals, USER).withColumn("_turn", F.pmod(F.col("_p") - 1, F.col("_total")))
+    turns = attach_by_key(p, totals, [USER]).withColumn("_turn", F.pmod(F.col("_p") - 1, F.col("_total")))
     return turns.join(n.withColumn("_turn", F.col("_n") - 1), [USER, "_turn"]).select(
         USER, "pos_item", "neg_item"
     )

@@ -17,7 +17,7 @@ def join_truth(truth: DataFrame, recs: DataFrame, by: Sequence[str] = ()) -> Dat
     keys = [*by, USER, ITEM]
     sizes = truth.groupBy(*by, USER).agg(F.count("*").alias("item_count_per_user"))
     joined = truth.select(*keys).join(recs.select(*keys, RANK), keys, "left")
-    return attach_by_key(joined, sizes, [*by, USER], "item_count_per_user")
+    return attach_by_key(joined, sizes, [*by, USER])
 
 
 def hits(joined: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.expressions import steady
 from tastemill.operators.blocks import group_pairs, mirrored, top_per_group
 from tastemill.schema import ITEM, RANK, USER
+from tastemill.session import stored
 
 ZERO = 1e-8  # norms at or below this count as zero
 
@@ -26,7 +27,7 @@ def item_similarity(
     and `manhattan` give distances. `cosine` divides by the norms over all raters, and `jaccard`
     compares the sets of raters; the sums of both need the per-item totals as well.
     """
-    rows = df.select(USER, ITEM, F.col(value).cast("double").alias("v"))
+    rows = stored(df.select(USER, ITEM, F.col(value).cast("double").alias("v")))
     vi, vj = F.col("v_i"), F.col("v_j")
     aggs = {"support": F.count("*")}
     if measure in ("adjusted_cosine", "euclidean"):

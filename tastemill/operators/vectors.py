@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.expressions import as_doubles, euclidean, steady
 from tastemill.operators.blocks import top_per_group
 from tastemill.schema import ITEM, RANK, USER
+from tastemill.session import stored
 
 BLOCK = 1024
 
@@ -38,6 +39,7 @@ def block_topk(
     `block` rows. A task scores one pair of blocks with a matrix product and returns k rows per
     left vector, so neither side is collected, and `seen` pairs leave before the k best are taken.
     """
+    left, right = stored(left), stored(right)
     nl, nr = block_count(left, block), block_count(right, block)
     pack = lambda cols: F.collect_list(F.struct(*cols))
     lefts = _blocked(left, USER, nl, "_l").groupBy("_l").agg(pack([USER, "vec"]).alias("_left"))

@@ -12,7 +12,7 @@ from tastemill.operators import clean, folds, knn, labels, profile
 from tastemill.plans import inputs as I
 from tastemill.plans.inputs import r6, sql
 from tastemill.schema import FILM_GENRES, FOLD, ITEM, USER
-from tastemill.session import scratch_folder
+from tastemill.session import scratch_folder, stored
 from tastemill.sources import delimited, tables
 
 QUERIES: dict = {}
@@ -330,7 +330,7 @@ def early_folds(df: DataFrame) -> DataFrame:
     ),
 )
 def s1(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     both = [
         made.select(
             F.lit(kind).alias("kind"),
@@ -351,19 +351,19 @@ def s1(spark, d):
     ),
 )
 def s2(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     train = folds.assign_train(df, main_folds(df), train_min_date=dt.date(1996, 1, 1))
     return train.select(FOLD, USER, ITEM, "start_date")
 
 
 @query("s3_test", sql("select fold, user_id, item_id, start_date from main_test0", "main_test0"))
 def s3(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     return folds.assign_test(df, main_folds(df)).select(FOLD, USER, ITEM, "start_date")
 
 
 def _early(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     table = early_folds(df)
     return folds.assign_train(df, table), folds.assign_test(df, table)
 
@@ -405,7 +405,7 @@ def s6(spark, d):
     sql("select fold, user_id, item_id, start_date from early_test", "early_test"),
 )
 def s6_split(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     _, test = folds.split(df, early_folds(df))
     return test.select(FOLD, USER, ITEM, "start_date")
 
@@ -444,7 +444,7 @@ from early_folds f"""
 
 @query("s8_fold_stats", sql(_S8, "early_folds", "early_test", "early_train_labels", "early_test_labels"))
 def s8(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     return (
         folds.fold_stats(df, early_folds(df))
         .withColumnRenamed("start", "start_date")
@@ -461,7 +461,7 @@ def s8(spark, d):
     ),
 )
 def s9(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     first = folds.n_folds(df, 30, 7)
     second = folds.n_folds(df, 30, 6, start=EARLY)
     return main_folds(df).limit(1).select(
@@ -525,7 +525,7 @@ def s12(spark, d):
     ),
 )
 def s13(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     _, test = folds.split(df, early_folds(df))
     index = test.select(USER, ITEM, FOLD)
     return folds.take_fold(I.interactions(spark, d), index).select(USER, ITEM, "progress", FOLD)
@@ -536,7 +536,7 @@ def s13(spark, d):
     sql("select * from users where user_id in (select user_id from early_test)", "users", "early_test"),
 )
 def s14(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     _, test = folds.split(df, early_folds(df))
     return folds.restrict_features(I.users(spark, d), test, USER)
 
@@ -565,7 +565,7 @@ LABEL_CTES = {
 
 
 def labelled(spark, d) -> DataFrame:
-    df = I.interactions(spark, d)
+    df = stored(I.interactions(spark, d))
     return labels.label(df, labels.user_stats(df))
 
 
@@ -683,7 +683,7 @@ SAMPLE_CTES = {
 
 
 def samples(spark, d) -> DataFrame:
-    marked = labelled(spark, d)
+    marked = stored(labelled(spark, d))
     positives = labels.select_pos(marked)
     neighbors = knn.item_knn(positives, "cosine")
     return labels.build_samples(

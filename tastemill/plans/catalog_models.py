@@ -29,6 +29,7 @@ from tastemill.plans import jobs
 from tastemill.plans.catalog_data import GENRE_CTES, LABEL_CTES, labelled, main_folds
 from tastemill.plans.inputs import r6, rounded, sql
 from tastemill.schema import DATE, FOLD, ITEM, RANK, TARGET, USER
+from tastemill.session import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -125,7 +126,7 @@ _R4 = {
     ),
 )
 def r4(spark, d):
-    df, users = I.interactions(spark, d), I.users(spark, d)
+    df, users = stored(I.interactions(spark, d)), I.users(spark, d)
     own = popular.popular_by(df, users, days=1)
     return popular.popular_by_recommend(df, users, own, popular.popular(df), 10)
 
@@ -198,7 +199,7 @@ def _recs_sql(source: str, nbr: str, k: int) -> str:
 
 @query("r6_knn_recommend", sql(_recs_sql("inter", "bm25_nbr", 10), "bm25_nbr", extra=KNN_CTES))
 def r6_knn(spark, d):
-    df = I.interactions(spark, d)
+    df = stored(I.interactions(spark, d))
     return knn.knn_recommend(df, df, knn.item_knn(df, "bm25"), 10)
 
 
@@ -213,7 +214,7 @@ def r6_knn(spark, d):
     ),
 )
 def r7(spark, d):
-    df = I.interactions(spark, d)
+    df = stored(I.interactions(spark, d))
     newest = df.agg(F.max(DATE)).scalar()
     recent = df.filter(F.col(DATE) > F.date_sub(newest, 30))
     return knn.similar_items(recent, knn.item_knn(df, "tfidf"), 5)
@@ -221,7 +222,7 @@ def r7(spark, d):
 
 @query("r8_als_fit")
 def r8(spark, d):
-    fit = als.als_fit(I.clean_interactions(spark, d), rank=16, iterations=5, weight="progress", seed=7)
+    fit = als.als_fit(stored(I.clean_interactions(spark, d)), rank=16, iterations=5, weight="progress", seed=7)
     sides = (("user", fit.model.userFactors), ("item", fit.model.itemFactors))
     parts = [f.select(F.lit(s).alias("side"), "id", "features") for s, f in sides]
     return parts[0].unionByName(parts[1])
@@ -229,7 +230,7 @@ def r8(spark, d):
 
 @query("r9_als_recommend")
 def r9(spark, d):
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     return als.als_recommend(als.als_fit(df, rank=16, iterations=5, seed=7), df, df, 10)
 
 
@@ -257,7 +258,7 @@ def r9(spark, d):
 )
 def r10(spark, d):
     # One neighbour per item leaves many lists short of thirty.
-    df = I.interactions(spark, d)
+    df = stored(I.interactions(spark, d))
     recs = knn.knn_recommend(df, df, knn.item_knn(df, "cosine", k=1), 30)
     return popular.fill_short(recs, df, popular.popular(df), df, 30)
 
@@ -274,7 +275,7 @@ def _hybrid(spark, d):
 
 @query("r12_hybrid_recommend")
 def r12(spark, d):
-    df = I.interactions(spark, d)
+    df = stored(I.interactions(spark, d))
     return hybrid.hybrid_recommend(_hybrid(spark, d), df, df, 10)
 
 
@@ -365,8 +366,8 @@ def sim1(spark, d):
 
 
 def _sim_two(spark, d) -> tuple[DataFrame, DataFrame]:
-    history = _centered(spark, d)
-    return history, similarity.item_similarity(history, min_support=2, diagonal=False)
+    history = stored(_centered(spark, d))
+    return history, stored(similarity.item_similarity(history, min_support=2, diagonal=False))
 
 
 @query("sim2_min_support", sql("select * from sim", "sim", extra=SIM_TWO))
@@ -552,8 +553,9 @@ M_CTES = {**FOLD_POP, **_rank_ctes("main_test", "fold_recs")}
 
 def _fold_recs(spark, d) -> tuple[DataFrame, DataFrame]:
     """Truth and popularity lists of the main folds."""
-    df = I.clean_interactions(spark, d)
+    df = stored(I.clean_interactions(spark, d))
     train, test = folds.split(df, main_folds(df))
+    test = stored(test)
     pop = popular.popular(train, max_k=10, by=[FOLD])
     return test, popular.popular_recommend(test, pop, 10, by=[FOLD])
 
@@ -659,9 +661,10 @@ HOLD = {
 
 
 def _holdout(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    train, test = folds.holdout(I.interactions(spark, d), dt.date(2000, 6, 1), dt.date(2100, 1, 1))
+    df = stored(I.interactions(spark, d))
+    train, test = folds.holdout(df, dt.date(2000, 6, 1), dt.date(2100, 1, 1))
     test = test.join(train.select(USER).distinct(), USER, "left_semi")
-    recs = knn.knn_recommend(test, train, knn.item_knn(train, "bm25"), 10)
+    recs = stored(knn.knn_recommend(test, train, knn.item_knn(train, "bm25"), 10))
     return train, test, recs
 
 
@@ -1050,7 +1053,7 @@ _ALS = {"rank": 16, "iterations": 5, "reg": 0.1, "seed": 1123}
 
 
 def _stages(spark, d):
-    early, late = folds.quantile_split(I.clean_interactions(spark, d), 0.6)
+    early, late = folds.quantile_split(stored(I.clean_interactions(spark, d)), 0.6)
     fit, cands = ranking.stage_one(early, late, 50, **_ALS)
     return fit, early, late, cands
 
@@ -1071,11 +1074,11 @@ def t1(spark, d):
 @query("t2_ranker_samples")
 def t2(spark, d):
     _, _, late, cands = _stages(spark, d)
-    return ranking.ranker_samples(cands, late, I.users(spark, d), I.items(spark, d))
+    return ranking.ranker_samples(stored(cands), late, I.users(spark, d), I.items(spark, d))
 
 
 def _ranker(spark, d):
-    samples = t2(spark, d).cache()
+    samples = stored(t2(spark, d))
     return samples, ranking.fit_ranker(samples, iterations=10)
 
 

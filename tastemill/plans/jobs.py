@@ -17,6 +17,7 @@ from tastemill.operators.folds import (
 )
 from tastemill.operators.labels import build_samples, label, select_pos, user_stats
 from tastemill.schema import FOLD, ITEM, TARGET, USER
+from tastemill.session import stored
 
 COUNT_MODELS = ("popular", "popular_by_age", *knn.WEIGHTINGS)
 
@@ -32,10 +33,15 @@ def labelled_folds(
     df: DataFrame, interval_days: int, folds: int, start=None, rule: str = "fixed"
 ) -> Folds:
     """Train and test rows of all folds, labelled with the train statistics of their fold."""
+    df = stored(df)
     table = make_folds(df, interval_days, folds, start)
     train, test = split(df, table)
-    stats = user_stats(train, by=[FOLD])
-    return Folds(table, label(train, stats, rule, by=[FOLD]), label(test, stats, rule, by=[FOLD]))
+    stats = stored(user_stats(train, by=[FOLD]))
+    return Folds(
+        table,
+        stored(label(train, stats, rule, by=[FOLD])),
+        stored(label(test, stats, rule, by=[FOLD])),
+    )
 
 
 def _recommend(model: str, train: DataFrame, truth: DataFrame, users: DataFrame, k: int, by: list[str]):
@@ -141,8 +147,8 @@ def prepare_samples(
     train, test = made.train.drop(FOLD), select_pos(made.test.drop(FOLD))
     positives = select_pos(train)
     neighbors = knn.item_knn(positives, "bm25")
-    samples = build_samples(
-        train, lambda lacking: knn.knn_recommend(lacking, positives, neighbors, k)
+    samples = stored(
+        build_samples(train, lambda lacking: knn.knn_recommend(lacking, positives, neighbors, k))
     )
     keys = samples.select(USER, ITEM).unionByName(test.select(USER, ITEM))
     return Prepared(
@@ -173,13 +179,13 @@ def two_stage(
     **als_params,
 ) -> DataFrame:
     """Metrics of ALS alone and of ALS re-ranked by boosted trees, on the last interval."""
-    known = clean.filter_noise(clean.restrict_to_known(df, users, items))
+    known = stored(clean.filter_noise(clean.restrict_to_known(df, users, items)))
     folds = make_folds(known, interval_days, 1)
     train, test = split(known, folds)
-    early, late = quantile_split(train.drop(FOLD), 0.6)
+    early, late = (stored(part) for part in quantile_split(train.drop(FOLD), 0.6))
     fit, cands = ranking.stage_one(early, late, train_candidates, **als_params)
-    cands = cands.cache()  # read for positives and for negatives
-    samples = ranking.ranker_samples(cands, late, users, items).cache()
+    # Candidates are read for positives and for negatives, samples for every tree.
+    samples = stored(ranking.ranker_samples(stored(cands), late, users, items))
     model = ranking.fit_ranker(samples, iterations=trees)
     truth = test.drop(FOLD).join(early.select(USER).distinct(), USER, "left_semi")
     first = als.als_recommend(fit, truth, early, candidates)
@@ -197,8 +203,8 @@ def item_to_item(
     score: str = "centered",
 ) -> DataFrame:
     """Top n items for every user by similarity to the rated history."""
-    history = clean.center_ratings(ratings)
-    sim = similarity.item_similarity(history, min_support=min_support, diagonal=False)
+    history = stored(clean.center_ratings(ratings))
+    sim = stored(similarity.item_similarity(history, min_support=min_support, diagonal=False))
     near = similarity.top_neighbors(sim, k) if k is not None else sim
     cands = similarity.candidates(history, near)
     return similarity.topn_items(similarity.predict_ratings(cands, history, sim, score), items, n)

@@ -52,3 +52,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getCheckpointDir().rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back.
+
+    For frames that several branches of a plan read: the work is done once, a lost executor costs
+    a re-read, and each reader still scans only the columns it needs.
+    """
+    path = scratch_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
