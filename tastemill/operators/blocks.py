@@ -33,10 +33,10 @@ def ordinal_rank(
     ranged = (
         df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn("_rowid", F.monotonically_increasing_id())
     )
     ranged = cut_lineage(ranged)
-    part = F.shiftright("_at", ROW_BITS)
+    part = F.shiftright("_rowid", ROW_BITS)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     # One row per partition, so a single window is small.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,8 +44,8 @@ def ordinal_rank(
     ranked = (
         ranged.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1) + 1)
-        .drop("_at", "_part", "_start")
+        .withColumn(name, F.col("_start") + F.col("_rowid").bitwiseAND((1 << ROW_BITS) - 1) + 1)
+        .drop("_rowid", "_part", "_start")
     )
     if not within:
         return ranked

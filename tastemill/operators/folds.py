@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.schema import DATE, FOLD, ITEM, RATING, USER
+from tastemill.schema import DATE, FOLD, ITEM, USER
+from tastemill.session import stored
 
 _FOLD_SCHEMA = "fold int, start date, end date"
 
@@ -220,7 +221,7 @@ def fold_stats(
     ]
     if labels:
         train, test = split(df, folds, train_min_date, date=date)
-        stats = user_stats(train, by=[FOLD])
+        stats = stored(user_stats(train, by=[FOLD]))
         for part, rows in (("train", train), ("test", test)):
             marked = label(rows, stats, rule=rule, by=[FOLD])
             sizes = marked.groupBy(FOLD).agg(

@@ -16,7 +16,7 @@ from tastemill.operators.folds import (
     split,
 )
 from tastemill.operators.labels import build_samples, label, select_pos, user_stats
-from tastemill.schema import FOLD, ITEM, TARGET, USER
+from tastemill.schema import FOLD, ITEM, RANK, TARGET, USER
 from tastemill.session import stored
 
 COUNT_MODELS = ("popular", "popular_by_age", *knn.WEIGHTINGS)
@@ -188,7 +188,7 @@ def two_stage(
     samples = stored(ranking.ranker_samples(stored(cands), late, users, items))
     model = ranking.fit_ranker(samples, iterations=trees)
     truth = test.drop(FOLD).join(early.select(USER).distinct(), USER, "left_semi")
-    first = als.als_recommend(fit, truth, early, candidates)
+    first = stored(als.als_recommend(fit, truth, early, candidates).select(USER, ITEM, RANK))
     scored = ranking.score(model, ranking.with_features(first, users, items))
     second = ranking.rerank(scored)
     return ranking.two_stage_report(first, second, truth, k)
