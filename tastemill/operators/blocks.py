@@ -27,12 +27,11 @@ def ordinal_rank(
     the checkpoint folder between the two passes: the range bounds come from a sample, and the
     counts and the ranks must see the same bounds. A large `within` group spans many partitions.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*(F.col(c).asc() for c in within), *order]
+    # Without `parts` AQE may merge neighbouring ranges, which keeps them in order.
+    spread = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
     ranged = (
-        df.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
+        spread.sortWithinPartitions(*keys)
         .withColumn("_rowid", F.monotonically_increasing_id())
     )
     ranged = cut_lineage(ranged)

@@ -539,10 +539,10 @@ def _rank_ctes(truth: str, recs: str) -> dict:
             ("fold_users", "hit_rows"),
         ),
         "report": (
-            f"""select fold, 'prec' as name, k, {r6('prec')} as value from per_k union all
-            select fold, 'recall', k, {r6('recall')} from per_k union all
-            select fold, 'MRR', 10, {r6('mrr')} from mrr_map union all
-            select fold, 'MAP', 10, {r6('map')} from mrr_map""",
+            f"""select fold, 'prec' as name, k::integer as k, {r6('prec')} as value from per_k union all
+            select fold, 'recall', k::integer, {r6('recall')} from per_k union all
+            select fold, 'MRR', 10::integer, {r6('mrr')} from mrr_map union all
+            select fold, 'MAP', 10::integer, {r6('map')} from mrr_map""",
             ("per_k", "mrr_map"),
         ),
     }
