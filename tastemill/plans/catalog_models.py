@@ -1060,7 +1060,7 @@ def _stages(spark, d):
 
 @query("n7_sample_negatives")
 def n7(spark, d):
-    # Popular items stand for candidates; twice as many misses as hits are drawn.
+    # BM25 lists are the candidates; twice as many misses as hits are drawn.
     train, test, recs = _holdout(spark, d)
     hits = recs.join(test.select(USER, ITEM), [USER, ITEM], "left_semi")
     return labels.sample_negatives(recs.select(USER, ITEM, RANK), hits, 2, 10)
