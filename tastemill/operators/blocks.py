@@ -76,7 +76,7 @@ def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFr
 def attach_by_key(
     rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join one-row-per-key `stats` to `rows` on (key, salt): a key's rows go to SALTS parts.
+    """Join `stats` (few rows per key) to `rows` on (key, salt): a key's rows go to SALTS parts.
 
     The result is not partitioned by the key, so a later aggregate shuffles partial sums and
     AQE stays free to cut a part that is still too large (a key may hold a third of all rows).

@@ -99,8 +99,9 @@ def knn_recommend(
     x = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     own = history.select(*by, USER, ITEM, x.alias("_x"))
     wanted = own.join(users.select(*by, USER).distinct(), [*by, USER], "left_semi")
+    lists = neighbors.select(*by, ITEM, "similar_item_id", "score")
     scores = (
-        wanted.join(neighbors.select(*by, ITEM, "similar_item_id", "score"), [*by, ITEM])
+        attach_by_key(wanted, lists, [*by, ITEM])
         .groupBy(*by, USER, F.col("similar_item_id").alias(ITEM))
         .agg(steady(F.sum(F.col("_x") * F.col("score"))).alias("score"))
     )
