@@ -16,7 +16,7 @@ from tastemill.operators.folds import (
     split,
 )
 from tastemill.operators.labels import build_samples, label, select_pos, user_stats
-from tastemill.schema import FOLD, ITEM, RANK, TARGET, USER
+from tastemill.schema import FOLD, ITEM, RANK, USER
 from tastemill.session import stored
 
 COUNT_MODELS = ("popular", "popular_by_age", *knn.WEIGHTINGS)
@@ -212,7 +212,6 @@ def item_to_item(
 
 __all__ = [
     "COUNT_MODELS",
-    "TARGET",
     "cross_validate",
     "item_to_item",
     "labelled_folds",
