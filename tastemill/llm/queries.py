@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tastemill.llm import mixing, simhash, token_files
+from tastemill.llm import language, mixing, simhash, token_files, toxicity
 from tastemill.llm.frames import table
 from tastemill.session import stored
 
@@ -57,6 +57,17 @@ LEFT JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
 """
 
 
+def held_out(parts: int, which: int):
+    """Whether crc32 of the id as text leaves `which`; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == which, F.lit(False))
+
+
+def op5_language(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", held_out(5, 0).alias("held_out"))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op7_simhash(spark, folder):
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -64,6 +75,13 @@ def op7_simhash(spark, folder):
     )
 
 
+def op8_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
+    labels = table(spark, folder, "labels").filter("toxic is not null").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_token_files(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
     files = token_files.tokenize_to_files(table(spark, folder, "documents"), path, 2)
@@ -73,7 +91,9 @@ def op9_token_files(spark, folder):
 
 QUERIES = {
     "op4_mix": op4_mix,
+    "op5_language": op5_language,
     "op7_simhash": op7_simhash,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
 }
 ORACLES = {"op4_mix": OP4_SQL}
