@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tastemill.llm import language, mixing, simhash, token_files, toxicity
+from tastemill.llm import language, mixing, simhash, token_files, toxicity, vectors
 from tastemill.llm.frames import table
 from tastemill.session import stored
 
@@ -89,11 +89,17 @@ def op9_token_files(spark, folder):
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op10_vector_groups(spark, folder):
+    groups = vectors.vector_groups(table(spark, folder, "embeddings"))
+    return groups.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op4_mix": op4_mix,
     "op5_language": op5_language,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
+    "op10_vector_groups": op10_vector_groups,
 }
 ORACLES = {"op4_mix": OP4_SQL}

@@ -10,84 +10,99 @@ from pyspark.sql import functions as F
 from tastemill.llm.frames import map_text
 from tastemill.llm.ngrams import chunks, join, subwords
 
-#: Labelled rows that the model is fitted on (chosen by a hash of the id).
-SAMPLE = 8_000
-#: Bits of a subword bucket, length of its vector, n-gram lengths, passes, step and pull towards zero.
-BITS, WIDTH, GRAMS, PASSES, STEP, DECAY = 17, 8, (3, 4, 5), 6, 0.5, 1e-6
+#: Labelled rows that the model is fitted on (chosen by a hash of the id); every fifth of them only calibrates.
+SAMPLE, CALIBRATE = 12_000, 5
+#: Bits of a subword bucket, length of its vector, n-gram lengths, passes and step.
+BITS, WIDTH, GRAMS, PASSES, STEP = 17, 8, (3, 4, 5), 5, 1.0
+#: Texts of the sample that a subword must occur in: at least this many, or this share of a small sample.
+LEAST, LEAST_SHARE = 20, 0.005
 
 
-def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, counts) of a whole text's subwords and words."""
-    total = np.zeros(1 << BITS, np.int64)
+def bag(text: bytes) -> np.ndarray:
+    """The distinct buckets of a whole text's subwords and words."""
+    found = np.zeros(1 << BITS, bool)
     for _, parts in chunks([text]):
         data, _ = join(parts)
         for _, buckets in subwords(data, GRAMS, BITS):
-            total += np.bincount(buckets, minlength=1 << BITS)
-    at = np.flatnonzero(total)
-    return at.astype(np.int32), total[at].astype(np.int32)
+            found[buckets] = True
+    return np.flatnonzero(found).astype(np.int32)
 
 
 class Model:
     """Vectors of subword buckets and a two-way softmax over their average, fitted together."""
 
-    def __init__(self, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH))
-        self.softmax = rng.normal(0, 0.5, (WIDTH, 2))
-        self.bias = np.zeros(2)
+    def __init__(self):
         self.scores = np.zeros(1 << BITS)
-        self.offset = 0.0
+        self.known = np.zeros(1 << BITS, bool)
+        self.bias = 0.0
+        self.slope, self.offset = 1.0, 0.0
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 11) -> Model:
+    def fit(self, bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Model:
         """Steps with per-bucket step sizes, one text at a time; both classes weigh alike."""
-        rng = np.random.default_rng(seed)
-        share = np.array([np.mean(labels == 0), np.mean(labels == 1)]) if len(labels) else np.ones(2)
-        if (share == 0).any():
+        if not len(labels) or labels.min() == labels.max():
             # One class only: its label is the best guess for every text.
-            self.offset = 0.0 if not len(labels) else (4.0 if share[1] else -4.0)
+            self.bias = float(4 * (2 * labels[0] - 1)) if len(labels) else 0.0
             return self
-        weight = 0.5 / share
-        spent = np.full(1 << BITS, 1e-8)
-        spent_softmax, spent_bias = np.full((WIDTH, 2), 1e-2), np.full(2, 1e-2)
+        rng = np.random.default_rng(seed)
+        spare = np.arange(len(bags)) % CALIBRATE == 0
+        train = np.flatnonzero(~spare)
+        if len(set(labels[train])) < 2 or len(set(labels[spare])) < 2:
+            train, spare = np.arange(len(bags)), np.ones(len(bags), bool)
+        spread = np.bincount(np.concatenate([bags[i] for i in train]), minlength=1 << BITS)
+        self.known = spread >= min(LEAST, max(1, LEAST_SHARE * len(train)))
+        bags = [b[self.known[b]] for b in bags]
+
+        vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH))
+        softmax, bias = rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)
+        weight = 0.5 / np.array([np.mean(labels[train] == c) for c in (0, 1)])
+        spent, spent_softmax, spent_bias = np.full(1 << BITS, 1e-6), np.full((WIDTH, 2), 1e-2), np.full(2, 1e-2)
         for turn in range(PASSES):
             step = STEP * (1 - turn / PASSES)
-            for i in rng.permutation(len(bags)):
-                at, counts = bags[i]
+            for i in rng.permutation(train):
+                at = bags[i]
                 if not len(at):
                     continue
-                part = counts / counts.sum()
-                own = self.vectors[at]
-                mean = part @ own
-                logits = mean @ self.softmax + self.bias
-                chance = np.exp(logits - logits.max())
-                chance /= chance.sum()
-                chance[labels[i]] -= 1
-                slope = chance * weight[labels[i]]
-                back = self.softmax @ slope
-                spent[at] += part**2 * (back @ back)
-                change = part / np.sqrt(spent[at])
-                self.vectors[at] = own * (1 - step * DECAY) - step * change[:, None] * back[None, :]
-                spent_softmax += np.outer(mean, slope) ** 2
-                self.softmax -= 0.2 * step * np.outer(mean, slope) / np.sqrt(spent_softmax)
+                own = vectors[at]
+                mean = own.mean(axis=0)
+                logits = mean @ softmax + bias
+                slope = np.exp(logits - logits.max())
+                slope /= slope.sum()
+                slope[labels[i]] -= 1
+                slope *= weight[labels[i]]
+                back = softmax @ slope / len(at)
+                spent[at] += back @ back
+                vectors[at] = own - step * back / np.sqrt(spent[at])[:, None]
+                outer = np.outer(mean, slope)
+                spent_softmax += outer**2
+                softmax -= 0.2 * step * outer / np.sqrt(spent_softmax)
                 spent_bias += slope**2
-                self.bias -= 0.2 * step * slope / np.sqrt(spent_bias)
+                bias -= 0.2 * step * slope / np.sqrt(spent_bias)
         # The average is linear, so each bucket's part of the score is one number.
-        self.scores = self.vectors @ (self.softmax[:, 1] - self.softmax[:, 0])
-        self.offset = float(self.bias[1] - self.bias[0])
+        self.scores = vectors @ (softmax[:, 1] - softmax[:, 0])
+        self.bias = float(bias[1] - bias[0])
+        self._calibrate(np.array([self._logit(bags[i]) for i in np.flatnonzero(spare)]), labels[spare])
         return self
 
+    def _calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
+        """A logistic curve over the logits of texts that were not trained on; both classes weigh alike."""
+        weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+        found = np.array([1.0, 0.0])
+        design = np.stack([logits, np.ones(len(logits))], axis=1)
+        for _ in range(100):
+            chance = 1 / (1 + np.exp(-np.clip(design @ found, -30, 30)))
+            pull = design.T @ (weight * (chance - labels)) + 1e-3 * (found - [1.0, 0.0])
+            curve = (design * (weight * chance * (1 - chance))[:, None]).T @ design + 1e-3 * np.eye(2)
+            found = found - np.clip(np.linalg.solve(curve, pull), -1, 1)
+        if found[0] > 0:
+            self.slope, self.offset = float(found[0]), float(found[1])
+
+    def _logit(self, at: np.ndarray) -> float:
+        return (float(self.scores[at].mean()) if len(at) else 0.0) + self.bias
+
     def predict(self, texts: list[bytes]) -> np.ndarray:
-        total, count = np.zeros(len(texts)), np.zeros(len(texts))
-        for at, parts in chunks(texts):
-            data, starts = join(parts)
-            sums, hits = np.zeros(len(data) + 1), np.zeros(len(data) + 1)
-            for places, buckets in subwords(data, GRAMS, BITS):
-                sums[places] += self.scores[buckets]
-                hits[places] += 1
-            np.add.at(total, at, np.add.reduceat(sums[:-1], starts))
-            np.add.at(count, at, np.add.reduceat(hits[:-1], starts))
-        logit = total / np.maximum(count, 1) + self.offset
-        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        found = [bag(t) for t in texts]
+        logits = np.array([self._logit(b[self.known[b]]) for b in found])
+        return 1 / (1 + np.exp(-np.clip(self.slope * logits + self.offset, -500, 500)))
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -102,22 +117,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str =
     chosen = known.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def work(_, raw):
-        bags = [bag(t) for t in raw]
-        return {
-            "at": pa.array([b[0].tobytes() for b in bags], pa.binary()),
-            "counts": pa.array([b[1].tobytes() for b in bags], pa.binary()),
-        }
+        return {"at": pa.array([bag(t).tobytes() for t in raw], pa.binary())}
 
     source = chosen.select(
         F.col(id).cast("string").alias("id"), F.col(label).cast("int").alias("label"), F.xxhash64(text).alias("key"),
         F.col(text).alias("text"),
     )
-    made = map_text(source, "text", ["id", "label", "key"], "at binary, counts binary", work)
+    made = map_text(source, "text", ["id", "label", "key"], "at binary", work)
     rows = made.toArrow().sort_by([("id", "ascending"), ("key", "ascending"), ("label", "ascending")])
-    bags = [
-        (np.frombuffer(a.as_py(), np.int32), np.frombuffer(c.as_py(), np.int32))
-        for a, c in zip(rows["at"], rows["counts"])
-    ]
+    bags = [np.frombuffer(a.as_py(), np.int32) for a in rows["at"]]
     return Model().fit(bags, np.array(rows["label"].to_pylist(), int))
 
 
