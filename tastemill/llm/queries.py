@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tastemill.llm import language, mixing, simhash, token_files, toxicity, vectors
+from tastemill.llm import decontaminate, language, mixing, simhash, token_files, toxicity, vectors
 from tastemill.llm.frames import table
 from tastemill.session import stored
 
@@ -68,6 +68,40 @@ def op5_language(spark, folder):
     return language.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_decontaminate(spark, folder):
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_key").withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n,
+    array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS phrase
+  FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS phrase
+  FROM words, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s) WHERE len(w) >= n),
+hits AS (SELECT doc_id, s, p.n, item_id FROM places p JOIN windows v ON p.phrase = v.phrase AND p.n = v.n),
+marked AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS place FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids
+  FROM hits GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN marked m ON w.doc_id = m.doc_id LEFT JOIN named k ON w.doc_id = k.doc_id
+"""
+
+
 def op7_simhash(spark, folder):
     groups = simhash.simhash_groups(table(spark, folder, "documents"))
     return groups.select(
@@ -97,9 +131,10 @@ def op10_vector_groups(spark, folder):
 QUERIES = {
     "op4_mix": op4_mix,
     "op5_language": op5_language,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_vector_groups": op10_vector_groups,
 }
-ORACLES = {"op4_mix": OP4_SQL}
+ORACLES = {"op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,40 +14,65 @@ from pyspark.sql import functions as F
 from tastemill.llm.frames import map_text, slices, small
 from tastemill.session import scratch_folder, stored
 
-#: Cached pieces of a Python worker; the cache starts anew when it is full.
+#: Cached words of a Python worker; the cache starts anew when it is full.
 CACHE = 400_000
 
-#: A blank after a letter, a digit or plain punctuation always starts a new pre-token of byte-level BPE,
-#: so text cut there gives the same ids piece by piece.
-CUT = re.compile(r"(?<=[\w.,])(?= )")
-
 _tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """(tokenizer, cache of pieces) of this Python process."""
+    """(tokenizer, cache of words after a blank, cache of words at the start of a line) of this Python process."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = (made, {})
+        _tokenizers[path] = (made, {}, {})
     return _tokenizers[path]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit integers; each piece of a text is encoded once."""
-    made, cache = tokenizer(path)
-    pieces = [CUT.split(t) for t in texts]
-    new = list({p for ps in pieces for p in ps if p not in cache})
+def _learn(made, cache: dict[str, bytes | None], words: set[str], before: str) -> None:
+    """Add the ids of `words`, each after `before`; None for a word that is empty or holds white space."""
+    new = [w for w in words if w not in cache]
     if len(cache) + len(new) > CACHE:
         cache.clear()
-        new = list({p for ps in pieces for p in ps})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for piece, found in zip(part, made.encode_batch_fast(part, add_special_tokens=False)):
-            cache[piece] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, ps)) for ps in pieces]
+        new = list(words)
+    plain = []
+    for word in new:
+        if word.split() == [word]:
+            plain.append(word)
+        else:
+            cache[word] = None
+    feed = made.encode("\n", add_special_tokens=False).ids
+    for at in range(0, len(plain), 8192):
+        part = plain[at : at + 8192]
+        # A line feed between two words is always one token of its own.
+        ids = np.array(made.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, "<u4")
+        ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
+        raw = ids.tobytes()
+        for word, start, end in zip(part, [0, *(e + 1 for e in ends)], ends):
+            cache[word] = raw[4 * start : 4 * end]
+
+
+def encode(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit integers; each word of the texts is encoded once.
+
+    In byte-level BPE a pre-token is white space, or one blank at most and what follows it. So a single blank starts
+    a pre-token, a single line feed is one, and the words between can be encoded on their own. A text with any other
+    white space, or with some at its ends, is encoded in one piece.
+    """
+    made, inner, first = tokenizer(path)
+    lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+    _learn(made, inner, set().union(*(ws[1:] for ls in lines for ws in ls)), " ")
+    _learn(made, first, {ws[0] for ls in lines for ws in ls}, "")
+    feed = np.array(made.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+    out = []
+    for text, found in zip(texts, lines):
+        try:
+            out.append(feed.join([b"".join([first[ws[0]], *map(inner.__getitem__, ws[1:])]) for ws in found]))
+        except TypeError:  # a word without ids
+            out.append(np.array(made.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    return out
 
 
 # -- the coding -------------------------------------------------------------------------------------------------
@@ -96,15 +120,22 @@ KEEP = ("id", "text_key", "before", "n")
 
 
 def encode_documents(df: DataFrame, path: str, end_id: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, n, ids): ids as raw 32-bit integers with `end_id` at the end; null text counts as empty."""
+    """(id, text_key, n, control, data): packed token ids with `end_id` at the end; null text counts as empty."""
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def work(_, raw):
-        ids = [x + tail for x in encode([t.decode("utf-8", "replace") for t in raw], path)]
-        return {"n": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+        made = []
+        for at in range(0, len(raw), 256):
+            ids = encode([t.decode("utf-8", "replace") for t in raw[at : at + 256]], path)
+            made += [(len(x) // 4 + len(tail) // 4, *pack(np.frombuffer(x + tail, "<u4"))) for x in ids]
+        return {
+            "n": pa.array([m[0] for m in made], pa.int64()),
+            "control": pa.array([m[1] for m in made], pa.binary()),
+            "data": pa.array([m[2] for m in made], pa.binary()),
+        }
 
     df = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return map_text(df, "text", ["id", "text_key"], "n bigint, ids binary", work)
+    return map_text(df, "text", ["id", "text_key"], "n bigint, control binary, data binary", work)
 
 
 def frequency_ranks(ids: DataFrame) -> list[int]:
@@ -112,16 +143,24 @@ def frequency_ranks(ids: DataFrame) -> list[int]:
 
     def count(batches):
         for batch in batches:
-            for part, raw in slices([batch], "ids"):
-                found = np.unique(np.frombuffer(b"".join(raw), "<u4"), return_counts=True)
+            for part, own in _unpacked(batch):
+                found = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["token", "n"]
                 )
 
-    counts = ids.select("ids").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = ids.select("n", "control", "data").mapInArrow(count, "token bigint, n bigint")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
     return [r.token for r in counts.orderBy(F.desc("n"), "token").select("token").collect()]
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch of packed rows with each row's values."""
+    for part, data in slices([batch], "data"):
+        coded = zip(part.column("control"), data, part.column("n"))
+        yield part, [unpack(c.as_py(), d, n.as_py()) for c, d, n in coded]
+
+
 def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> None:
     """Write (shard, id, text_key, before, n, control, data) as Parquet files, in ascending id order (null first).
 
@@ -137,17 +176,17 @@ def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> Non
     def code(batches):
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, raw in slices([batch], "ids"):
-                coded = [pack(shared.value[np.frombuffer(own, "<u4")]) for own in raw]
-                sizes = np.array([len(own) // 4 for own in raw], np.int64)
+            for part, own in _unpacked(batch):
+                coded = [pack(shared.value[ids]) for ids in own]
+                sizes = part.column("n").to_numpy()
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
                 made = [
-                    pa.array(np.full(len(raw), shard, np.int64)),
+                    pa.array(np.full(len(own), shard, np.int64)),
                     part.column("id"),
                     part.column("text_key"),
                     pa.array(starts),
-                    pa.array(sizes),
+                    part.column("n"),
                     pa.array([c for c, _ in coded], pa.binary()),
                     pa.array([d for _, d in coded], pa.binary()),
                 ]
@@ -155,7 +194,7 @@ def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> Non
 
     kind = ids.schema["id"].dataType.simpleString()
     ranged = ids.repartitionByRange("id", "text_key").sortWithinPartitions("id", "text_key")
-    coded = ranged.select("id", "text_key", "ids").mapInArrow(
+    coded = ranged.mapInArrow(
         code, f"shard bigint, id {kind}, text_key bigint, before bigint, n bigint, control binary, data binary"
     )
     coded.write.parquet(f"{folder}/ids")
@@ -172,10 +211,10 @@ def read_token_files(spark: SparkSession, folder: str, schema: str, make) -> Dat
 
     def decode(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = zip(*(batch.column(k) for k in ("control", "data", "n")))
-            made = [make(shared.value[unpack(c.as_py(), d.as_py(), n.as_py())]) for c, d, n in coded]
-            kept = [batch.column(k) for k in ("shard", *KEEP)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(made)], names=["shard", *KEEP, name])
+            for part, own in _unpacked(batch):
+                made = [make(shared.value[ranks]) for ranks in own]
+                kept = [part.column(k) for k in ("shard", *KEEP)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(made)], names=["shard", *KEEP, name])
 
     kinds = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in ("shard", *KEEP))
     return files.select("shard", *KEEP, "control", "data").mapInArrow(decode, f"{kinds}, {schema}")
