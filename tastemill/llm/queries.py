@@ -5,11 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tastemill.llm import decontaminate, language, mixing, simhash, token_files, toxicity, vectors
+from tastemill.llm import (
+    chunks,
+    decontaminate,
+    language,
+    mixing,
+    simhash,
+    suffixes,
+    token_files,
+    toxicity,
+    vectors,
+)
 from tastemill.llm.frames import table
 from tastemill.session import stored
 
 
+def op2_suffix_dedup(spark, folder):
+    return suffixes.suffix_dedup(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_chunk_dedup(spark, folder):
+    return chunks.chunk_dedup(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_mix(spark, folder):
     docs = table(spark, folder, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -129,6 +147,8 @@ def op10_vector_groups(spark, folder):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chunk_dedup": op3_chunk_dedup,
     "op4_mix": op4_mix,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
