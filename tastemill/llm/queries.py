@@ -9,6 +9,7 @@ from tastemill.llm import (
     chunks,
     decontaminate,
     language,
+    lines,
     mixing,
     simhash,
     suffixes,
@@ -20,6 +21,47 @@ from tastemill.llm.frames import table
 from tastemill.session import stored
 
 
+def op1_line_dedup(spark, folder):
+    found = lines.line_dedup(table(spark, folder, "pages"))
+    return found.select(
+        F.col("id").alias("page_id"),
+        "host",
+        F.size("lines").cast("bigint").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("bigint").alias("n_dropped"),
+        F.md5(F.array_join("kept", "\n")).alias("kept_md5"),
+    )
+
+
+OP1_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{lines.HIDDEN}', chr(10), 'g'),
+    '{lines.BLOCK}', chr(10), 'g'), '{lines.TAG}', '', 'g') AS t FROM pages),
+squeezed AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 2)), '') AS host,
+    trim(regexp_replace(regexp_replace(regexp_replace(t, '[ 	]+', ' ', 'g'),
+      '[ ]?[
+][
+ ]*', chr(10), 'g'), '^[
+ ]+|[
+ ]+$', '', 'g'), ' ') AS t FROM cut),
+split AS (
+  SELECT page_id, host, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(t, chr(10)) END AS lines FROM squeezed),
+totals AS (SELECT host, count(*) AS pages FROM split WHERE host IS NOT NULL GROUP BY host),
+counts AS (
+  SELECT host, line, count(*) AS n
+  FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM split WHERE host IS NOT NULL) GROUP BY host, line),
+boiler AS (
+  SELECT c.host, list(line) AS gone FROM counts c JOIN totals t ON c.host = t.host
+  WHERE n >= {lines.LEAST_PAGES} AND n > CAST({lines.RATIO} AS DOUBLE) * pages GROUP BY c.host),
+kept AS (
+  SELECT page_id, s.host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept
+  FROM split s LEFT JOIN boiler b ON s.host = b.host)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
+  md5(array_to_string(kept, chr(10))) AS kept_md5
+FROM kept
+"""
+
+
 def op2_suffix_dedup(spark, folder):
     return suffixes.suffix_dedup(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -147,6 +189,7 @@ def op10_vector_groups(spark, folder):
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_chunk_dedup": op3_chunk_dedup,
     "op4_mix": op4_mix,
@@ -157,4 +200,4 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_vector_groups": op10_vector_groups,
 }
-ORACLES = {"op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL}

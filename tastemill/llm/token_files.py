@@ -14,44 +14,62 @@ from pyspark.sql import functions as F
 from tastemill.llm.frames import map_text, slices, small
 from tastemill.session import scratch_folder, stored
 
-#: Cached words of a Python worker; the cache starts anew when it is full.
-CACHE = 400_000
+#: Words of one generation of a Python worker's cache. When it is full, it becomes the old one, from which words that
+#: are still in use move on.
+CACHE = 250_000
 
 _tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """(tokenizer, cache of words after a blank, cache of words at the start of a line) of this Python process."""
+    """(tokenizer, caches of words after a blank, caches of words at the start of a line) of this Python process."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = (made, {}, {})
+        _tokenizers[path] = (made, [{}, {}], [{}, {}])
     return _tokenizers[path]
 
 
-def _learn(made, cache: dict[str, bytes | None], words: set[str], before: str) -> None:
-    """Add the ids of `words`, each after `before`; None for a word that is empty or holds white space."""
-    new = [w for w in words if w not in cache]
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list(words)
-    plain = []
-    for word in new:
-        if word.split() == [word]:
-            plain.append(word)
-        else:
+def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before: str) -> dict[str, bytes | None]:
+    """A cache that has the ids of `words`, each after `before`; None for a word that is empty or holds white space."""
+    if len(caches[0]) > CACHE:
+        caches[:] = [{}, caches[0]]
+    cache, old = caches
+    plain, marked = set(), []
+    for word in words:
+        if word in cache:
+            continue
+        if word in old:
+            cache[word] = old[word]
+        elif word.split() != [word]:
             cache[word] = None
-    feed = made.encode("\n", add_special_tokens=False).ids
-    for at in range(0, len(plain), 8192):
-        part = plain[at : at + 8192]
+        elif word[-1] in ".," and word[-2:-1].isalpha():
+            # After a letter, one full stop or comma is a pre-token of its own.
+            marked.append(word)
+            stem = word[:-1]
+            if stem not in cache:
+                if stem in old:
+                    cache[stem] = old[stem]
+                else:
+                    plain.add(stem)
+        else:
+            plain.add(word)
+    plain = list(plain)
+    feed, *marks = (made.encode(c, add_special_tokens=False).ids for c in "\n.,")
+    for at in range(0, len(plain), 1024):
+        part = plain[at : at + 1024]
         # A line feed between two words is always one token of its own.
         ids = np.array(made.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, "<u4")
         ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
         raw = ids.tobytes()
         for word, start, end in zip(part, [0, *(e + 1 for e in ends)], ends):
             cache[word] = raw[4 * start : 4 * end]
+    tails = {c: np.array(m, "<u4").tobytes() for c, m in zip(".,", marks)}
+    for word in marked:
+        cache[word] = cache[word[:-1]] + tails[word[-1]]
+    return cache
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -61,10 +79,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     a pre-token, a single line feed is one, and the words between can be encoded on their own. A text with any other
     white space, or with some at its ends, is encoded in one piece.
     """
-    made, inner, first = tokenizer(path)
+    made, later, starts = tokenizer(path)
     lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
-    _learn(made, inner, set().union(*(ws[1:] for ls in lines for ws in ls)), " ")
-    _learn(made, first, {ws[0] for ls in lines for ws in ls}, "")
+    inner = _learn(made, later, set().union(*(ws[1:] for ls in lines for ws in ls)), " ")
+    first = _learn(made, starts, {ws[0] for ls in lines for ws in ls}, "")
     feed = np.array(made.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
     out = []
     for text, found in zip(texts, lines):
@@ -77,12 +95,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
 # -- the coding -------------------------------------------------------------------------------------------------
 
-#: For each control byte: the byte lengths of its four values, their sum, and where each of 16 output bytes comes from.
-_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-_STARTS = np.cumsum(_LENGTHS, axis=1) - _LENGTHS
-_TOTALS = _LENGTHS.sum(axis=1)
-_PLACE = np.arange(4)[None, None, :]
-_SHUFFLE = np.where(_PLACE < _LENGTHS[:, :, None], _STARTS[:, :, None] + _PLACE, 16).reshape(256, 16)
+#: For each control byte: the byte lengths of its four values. For each length: the bits that count of four bytes.
+_LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
+_BITS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], "<u4")
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -98,19 +113,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """Back to `n` values: each control byte looks up which data bytes make its four values."""
-    control = np.frombuffer(control, np.uint8)
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(17, np.uint8)])
-    out = np.empty((len(control), 16), np.uint8)
-    ends = np.cumsum(_TOTALS[control])
-    for at in range(0, len(control), 1 << 16):
-        part = control[at : at + (1 << 16)]
-        starts = ends[at : at + len(part)] - _TOTALS[part]
-        index = _SHUFFLE[part]
-        found = raw[np.minimum(starts[:, None] + index, len(raw) - 1)]
-        found[index == 16] = 0
-        out[at : at + len(part)] = found
-    return out.reshape(-1).view("<u4")[:n]
+    """Back to `n` values: each control byte looks up the lengths of its four values, so where each one starts."""
+    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = data + b"\0\0\0"
+    words = np.ndarray((len(data),), "<u4", raw, strides=(1,))  # the four bytes from each place on
+    return words[starts] & _BITS[lengths]
 
 
 #: Columns of the files besides the shard and the coded ids.
@@ -144,10 +152,9 @@ def frequency_ranks(ids: DataFrame) -> list[int]:
     def count(batches):
         for batch in batches:
             for part, own in _unpacked(batch):
-                found = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["token", "n"]
-                )
+                counts = np.bincount(np.concatenate(own)) if own else np.zeros(0, np.int64)
+                tokens = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts[tokens])], names=["token", "n"])
 
     counts = ids.select("n", "control", "data").mapInArrow(count, "token bigint, n bigint")
     counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -197,7 +204,7 @@ def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> Non
     coded = ranged.mapInArrow(
         code, f"shard bigint, id {kind}, text_key bigint, before bigint, n bigint, control binary, data binary"
     )
-    coded.write.parquet(f"{folder}/ids")
+    coded.write.option("compression", "zstd").parquet(f"{folder}/ids")
     ranks = spark.createDataFrame([(i, t) for i, t in enumerate(vocabulary)], "rank bigint, token bigint")
     ranks.coalesce(1).write.parquet(f"{folder}/vocabulary")
 
@@ -245,6 +252,9 @@ def tokenize_to_files(
     """
     spark = df.sparkSession
     folder = folder or scratch_folder(spark, "tokens")
-    ids = stored(encode_documents(df, path, end_id, id, text))
+    encoded = encode_documents(df, path, end_id, id, text)
+    raw = scratch_folder(spark, "ids")
+    encoded.write.option("compression", "zstd").parquet(raw)
+    ids = spark.read.schema(encoded.schema).parquet(raw)
     write_token_files(ids, folder, frequency_ranks(ids))
     return folder
