@@ -51,11 +51,15 @@ def map_text(
     schema: str,
     work: Callable[[pa.RecordBatch, list[bytes]], dict[str, object]],
 ) -> DataFrame:
-    """One output row per row: the columns `keep` and those that `work` makes of each slice's texts."""
+    """One output row per row: the columns `keep` and those that `work` makes of each slice's texts.
+
+    A column of `keep` gives way to a made one of the same name.
+    """
+    made = [part.split()[0] for part in schema.split(", ")]
+    keep = [k for k in keep if k not in made]
     source = df.select(*keep) if text in keep else df.select(*keep, text)
     kinds = {f.name: f.dataType.simpleString() for f in df.select(*keep).schema.fields}
     out = ", ".join([*(f"`{k}` {v}" for k, v in kinds.items()), schema])
-    made = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
         for batch, raw in slices(batches, text):

@@ -153,19 +153,23 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
     return Model(languages, means)
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with lang_pred, score and ambiguous.
+def identify(
+    df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = ""
+) -> DataFrame:
+    """The columns `keep` (all by default) with lang_pred, score and ambiguous, named after `prefix`.
 
     A null text and a text without a letter get `und`, score 0, ambiguous; so does every row if no language was
-    learned. With one language learned all other rows get it. Ties go to the language that sorts first.
+    learned. With one language learned all other rows get it. Ties go to the language that sorts first. A column of `df` with the name of
+    an output column is replaced.
     """
 
     def work(_, raw):
         made = [model.predict(raw[at : at + 256]) for at in range(0, len(raw), 256)]
         return {
-            "lang_pred": pa.array([x for m in made for x in m[0]], pa.string()),
-            "score": pa.array(np.concatenate([m[1] for m in made]) if made else [], pa.float64()),
-            "ambiguous": pa.array(np.concatenate([m[2] for m in made]) if made else [], pa.bool_()),
+            prefix + "lang_pred": pa.array([x for m in made for x in m[0]], pa.string()),
+            prefix + "score": pa.array(np.concatenate([m[1] for m in made]) if made else [], pa.float64()),
+            prefix + "ambiguous": pa.array(np.concatenate([m[2] for m in made]) if made else [], pa.bool_()),
         }
 
-    return map_text(df, text, keep or df.columns, "lang_pred string, score double, ambiguous boolean", work)
+    schema = f"{prefix}lang_pred string, {prefix}score double, {prefix}ambiguous boolean"
+    return map_text(df, text, keep or df.columns, schema, work)

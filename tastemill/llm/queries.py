@@ -38,12 +38,8 @@ WITH cut AS (
     '{lines.BLOCK}', chr(10), 'g'), '{lines.TAG}', '', 'g') AS t FROM pages),
 squeezed AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 2)), '') AS host,
-    trim(regexp_replace(regexp_replace(regexp_replace(t, '[ 	]+', ' ', 'g'),
-      '[ ]?[
-][
- ]*', chr(10), 'g'), '^[
- ]+|[
- ]+$', '', 'g'), ' ') AS t FROM cut),
+    trim(regexp_replace(regexp_replace(regexp_replace(t, '[\x20\x09\x0D]+', ' ', 'g'),
+      '[\x20]?[\x0A][\x0A\x20]*', chr(10), 'g'), '^[\x0A\x20]+|[\x0A\x20]+$', '', 'g'), ' ') AS t FROM cut),
 split AS (
   SELECT page_id, host, CASE WHEN t = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(t, chr(10)) END AS lines FROM squeezed),
 totals AS (SELECT host, count(*) AS pages FROM split WHERE host IS NOT NULL GROUP BY host),

@@ -29,7 +29,7 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def cut(texts: DataFrame, ranges: DataFrame, keep_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, n_ranges[, kept]): ranges taken out of each text.
 
-    `ranges` holds (doc, first, past, keep); those with `keep` are only counted. A text's ranges are at most as many
+    `ranges` holds (doc, first, past, keep); those with `keep` are only counted (by where they start). A text's ranges are at most as many
     as its bytes; they meet the text in one join on doc, which is spread evenly.
     """
     own = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "past", "keep")).alias("cuts"))
@@ -47,7 +47,7 @@ def cut(texts: DataFrame, ranges: DataFrame, keep_text: bool = False) -> DataFra
                     kept, removed, spans, n = text, 0, 0, 0
                     if lists[0].is_valid:
                         first, past, keep = (x.values.to_numpy(zero_copy_only=False) for x in lists)
-                        n, gone = len(first), ~keep.astype(bool)
+                        n, gone = len(np.unique(first)), ~keep.astype(bool)
                         if gone.any():
                             starts, ends = merge(first[gone], past[gone])
                             removed, spans = int((ends - starts).sum()), len(starts)

@@ -133,6 +133,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | Non
     """The columns `keep` (all by default) with score (0 to 1) and predicted (1 if score >= `at`).
 
     A text without letters, and a null text, scores what the bias says. Without labelled rows every score is 0.5.
+    A column of `df` with the name of an output column is replaced.
     """
 
     def work(_, raw):
