@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.expressions import quantize
-from tastemill.operators.blocks import top_per_group
 from tastemill.operators.features import dense_ids
 from tastemill.operators.labels import select_pos
-from tastemill.schema import ITEM, USER
+from tastemill.operators.vectors import block_topk
+from tastemill.schema import ITEM, RANK, USER
 from tastemill.session import ensure_checkpoint_dir, stored
 
 
@@ -32,11 +32,12 @@ def als_fit(
     weight: str | None = None,
     quant: int = 5,
     seed: int = 0,
-    blocks: int | None = None,
+    blocks: int = 10,
 ) -> AlsFit:
     """Implicit ALS. Weight 1 per interaction, or a column floored to steps of `quant`.
 
-    Ids become dense 32-bit numbers first. Spark multiplies `reg` by the number of ratings.
+    Ids become dense 32-bit numbers first. Spark multiplies `reg` by the number of ratings. `blocks` is the number
+    of user and of item blocks; a fixed number, since the result of a seed depends on it. Raise it for larger data.
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = select_pos(df)
@@ -49,7 +50,6 @@ def als_fit(
         .join(items, ITEM)
         .select(F.col("u").cast("int"), F.col("i").cast("int"), F.col("rating").cast("float"))
     )
-    blocks = blocks or min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     als = ALS(
         rank=rank,
         regParam=reg,
@@ -68,43 +68,28 @@ def als_fit(
     return AlsFit(als.fit(stored(ratings)), users, items)
 
 
+def factors(fit: AlsFit, side: str, keys: DataFrame | None = None) -> DataFrame:
+    """(id, vec) of the users or items of a fit."""
+    key, code, table, ids = (
+        (USER, "u", fit.model.userFactors, fit.users) if side == "user" else (ITEM, "i", fit.model.itemFactors, fit.items)
+    )
+    if keys is not None:
+        ids = ids.join(keys.select(key).distinct(), key, "left_semi")
+    return table.join(ids, table["id"] == ids[code]).select(key, F.col("features").alias("vec"))
+
+
 def als_recommend(fit: AlsFit, users: DataFrame, seen: DataFrame | None, k: int = 10) -> DataFrame:
-    """Top k items per user without the seen ones.
+    """Top k items per user without the seen ones, which leave before the k best are taken."""
+    items = factors(fit, "item").withColumn("bias", F.lit(0.0))
+    return block_topk(factors(fit, "user", users), items, k, seen)
 
-    MLlib takes one list length for all users, and k unseen items need k + history. Users are
-    served in tiers whose histories differ by less than a factor of two, so one user with a huge
-    history does not lengthen the lists of the others.
-    """
-    wanted = stored(users.select(USER).distinct().join(fit.users, USER))
-    if seen is None:
-        tiers = [(0, wanted)]
-    else:
-        counts = (
-            seen.join(wanted.select(USER), USER, "left_semi").groupBy(USER).agg(F.count("*").alias("_n"))
-        )
-        tiered = stored(
-            wanted.join(counts, USER, "left").withColumn(
-                "_tier", F.ceil(F.log2(F.coalesce("_n", F.lit(0)) + 1)).cast("int")
-            )
-        )
-        found = sorted(r["_tier"] for r in tiered.select("_tier").distinct().collect())
-        tiers = [(t, tiered.filter(F.col("_tier") == t)) for t in found]
-    parts = []
-    for tier, members in tiers:
-        extra = 0 if seen is None else 2**tier
-        recs = (
-            fit.model.recommendForUserSubset(members.select("u"), k + extra)
-            .select("u", F.explode("recommendations").alias("_r"))
-            .select(F.col("u").cast("bigint"), F.col("_r.i").cast("bigint").alias("i"), F.col("_r.rating").alias("score"))
-        )
-        named = recs.join(members.select("u", USER), "u").join(fit.items, "i").select(USER, ITEM, "score")
-        parts.append(named)
-    if not parts:
-        empty = users.sparkSession.createDataFrame([], f"{USER} bigint, {ITEM} bigint, score float, rank bigint")
-        return empty
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    if seen is not None:
-        scores = scores.join(seen.select(USER, ITEM), [USER, ITEM], "left_anti")
-    return top_per_group(scores, [USER], [F.desc("score"), F.asc(ITEM)], k)
+
+def als_similar_items(fit: AlsFit, items: DataFrame, n: int = 10) -> DataFrame:
+    """(item_id, similar_item_id, score, rank): the n items of largest cosine between factor vectors."""
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    unit = factors(fit, "item").withColumn("_norm", norm).filter(F.col("_norm") > 0)
+    unit = stored(unit.select(ITEM, F.transform("vec", lambda x: x.cast("double") / F.col("_norm")).alias("vec")))
+    given = unit.join(items.select(ITEM).distinct(), ITEM, "left_semi").withColumnRenamed(ITEM, USER)
+    itself = given.select(USER, F.col(USER).alias(ITEM))
+    found = block_topk(given, unit.withColumn("bias", F.lit(0.0)), n, itself)
+    return found.select(F.col(USER).alias(ITEM), F.col(ITEM).alias("similar_item_id"), "score", RANK)

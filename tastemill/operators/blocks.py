@@ -65,9 +65,13 @@ def top_per_group(
 
 
 def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the columns of a totals table: one row in all, or one row per `by` value (fold)."""
+    """Add the columns of a totals table: one row in all, or one row per `by` value.
+
+    `by` names folds or the like, of which there is a handful, so the table is broadcast: a shuffle on so
+    few keys would put all rows into a few tasks.
+    """
     if by:
-        return df.join(totals, list(by))
+        return df.join(F.broadcast(totals), list(by))
     return df.withColumns(
         {name: totals.select(name).scalar() for name in totals.columns}
     )
@@ -95,9 +99,12 @@ def group_pairs(
     values: Sequence[str],
     aggs: Mapping[str, Column],
     chunk: int = 512,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Aggregate over the groups that hold both items: one row per (item_i < item_j).
 
+    Columns of `group` named in `keep` (folds, segments) stay apart in the result.
+
     `df` must be distinct on (group, item). Expressions in `aggs` read the value columns with the
     suffixes `_i` and `_j`. Two items meet inside a group (a user), and a user with n items is cut
     into ceil(n / chunk) chunks; every pair of chunks is its own join key. No join key ever gathers
@@ -133,7 +140,6 @@ def group_pairs(
         for v in ["item", *values]
         for s, o in (("i", "j"), ("j", "i"))
     }
-    keep = [g for g in group if g == "fold"]
     return (
         met.select(*keep, *(expr.alias(name) for name, expr in swapped.items()))
         .groupBy(*keep, "item_i", "item_j")

@@ -60,12 +60,7 @@ def genre_coverage(items: DataFrame) -> DataFrame:
     counts = genre_counts(items)
     upto = Window.orderBy(F.desc("n"), F.asc("genre")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumns(
-        {
-            "cum_fraction": F.sum("n").over(upto) / total,
-            "num_genres": F.count("*").over(upto),
-        }
-    )
+    return counts.withColumn("cum_fraction", F.sum("n").over(upto) / total)
 
 
 def select_genres(items: DataFrame, cov: float, null_value: str | None = None) -> DataFrame:

@@ -12,16 +12,11 @@ from tastemill.functions.expressions import genre_list
 from tastemill.operators.blocks import ordinal_rank
 from tastemill.schema import DATE, ITEM, TARGET, USER
 
-MAX_CATEGORIES = 10_000  # one column per category beyond this is a mistake, not a feature frame
-
 
 def _categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values of a categorical column, refused if they are too many."""
+    """Sorted distinct values of a categorical column: the caller asks for a column for each of them."""
     found = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("v")).distinct()
-    values = [r["v"] for r in found.limit(MAX_CATEGORIES + 1).collect()]
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has over {MAX_CATEGORIES} values; use genre_vectors or hashing")
-    return sorted(values)
+    return sorted(r["v"] for r in found.collect())
 
 
 def genre_vocabulary(items: DataFrame, null_value: str = "unknown") -> list[str]:
@@ -41,28 +36,12 @@ def genre_matrix(
     return rows.select(ITEM, *flags)
 
 
-def genre_vectors(items: DataFrame, vocab_size: int = 1 << 18):
-    """Sparse genre vectors for vocabularies too wide for columns; gives (model, frame)."""
-    from pyspark.ml.feature import CountVectorizer
-
-    rows = items.select(ITEM, F.coalesce(genre_list("genres"), F.array(F.lit("unknown"))).alias("genre_list"))
-    model = CountVectorizer(
-        inputCol="genre_list", outputCol="genre_vector", vocabSize=vocab_size, binary=True
-    ).fit(rows)
-    return model, model.transform(rows).select(ITEM, "genre_vector")
-
-
 def dense_ids(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """Dictionary (col, name): the sorted distinct values numbered from 0."""
     values = df.select(col).filter(F.col(col).isNotNull()).distinct()
     return ordinal_rank(values, [F.asc(col)], name).withColumn(name, F.col(name) - 1)
 
 
-def encode(df: DataFrame, dictionary: DataFrame, col: str) -> DataFrame:
-    """Add the dense id of `col`; also decodes when joined on the id column."""
-    return df.join(dictionary, col)
-
-
 def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each categorical column by 0/1 columns named column_value."""
     rest = [c for c in df.columns if c not in cols]
@@ -115,24 +94,26 @@ def typed_features(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str
     )
 
 
-def pairwise_set(df: DataFrame) -> DataFrame:
+def pairwise_set(df: DataFrame, features: Sequence[str] = ()) -> DataFrame:
     """(pair_id, group_id, pos_item, neg_item, pos_date, neg_date): one row per pair.
 
-    Each pair id has one positive and one negative row; a grouped maximum picks both, which needs
-    one shuffle and no join of the frame with itself.
+    Each column of `features` comes as pos_<name> and neg_<name>. A grouped maximum picks both sides, which needs
+    one shuffle and no join of the frame with itself. The job fails on a pair id without exactly one positive and
+    one negative row.
     """
-    side = F.struct(F.col(ITEM).alias("item"), F.col(DATE).alias("date"))
+    side = F.struct(F.col(ITEM).alias("item"), F.col(DATE).alias("date"), *features)
+    sides = {"pos": F.col(TARGET) == 1, "neg": F.col(TARGET) == 0}
     picked = df.groupBy("pair_id", "group_id").agg(
-        F.max(F.when(F.col(TARGET) == 1, side)).alias("_pos"),
-        F.max(F.when(F.col(TARGET) == 0, side)).alias("_neg"),
+        *(F.max(F.when(cond, side)).alias(f"_{s}") for s, cond in sides.items()),
+        *(F.count_if(cond).alias(f"_{s}_rows") for s, cond in sides.items()),
     )
-    return picked.filter(F.col("_pos").isNotNull() & F.col("_neg").isNotNull()).select(
+    whole = (F.col("_pos_rows") == 1) & (F.col("_neg_rows") == 1)
+    wrong = F.raise_error(F.concat(F.lit("not one row per side in pair "), F.col("pair_id").cast("string")))
+    checked = picked.withColumn("pair_id", F.when(whole, F.col("pair_id")).otherwise(wrong.cast(picked.schema["pair_id"].dataType)))
+    return checked.select(
         "pair_id",
         "group_id",
-        F.col("_pos.item").alias("pos_item"),
-        F.col("_neg.item").alias("neg_item"),
-        F.col("_pos.date").alias("pos_date"),
-        F.col("_neg.date").alias("neg_date"),
+        *(F.col(f"_{s}.{c}").alias(f"{s}_{c}") for c in ("item", "date", *features) for s in sides),
     )
 
 

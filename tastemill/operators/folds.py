@@ -50,10 +50,13 @@ def make_folds(
 
     Without `start` the folds end one interval before the last date. Reads one row (the smallest
     and largest date); the result is a constant table, so its dates reach the scan as filters.
+    Fails if rows are there but no fold fits their dates.
     """
     first, last = df.agg(F.min(date), F.max(date)).first()
     points = fold_points(first, last, interval_days, folds, start, end) if first is not None else []
     rows = [(i, a, b) for i, (a, b) in enumerate(zip(points, points[1:]), 1)]
+    if first is not None and not rows:
+        raise ValueError(f"no fold fits the dates {first} to {last}")
     return df.sparkSession.createDataFrame(rows, _FOLD_SCHEMA)
 
 

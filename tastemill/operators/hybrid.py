@@ -1,4 +1,4 @@
-"""Hybrid recommender: a factorization machine over ids, user features and item features."""
+"""Hybrid recommender: factors of ids from ALS, and a factorization machine over user and item features."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import FMClassificationModel, FMClassifier
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions.expressions import quantize
+from tastemill.operators.als import AlsFit, als_fit
+from tastemill.operators.als import factors as als_factors
 from tastemill.operators.features import feature_lists
 from tastemill.operators.vectors import block_topk
 from tastemill.schema import ITEM, TARGET, USER
@@ -22,22 +24,16 @@ from tastemill.session import stored
 @dataclass(frozen=True)
 class HybridFit:
     model: FMClassificationModel
+    vocabulary: list[str]
+    ids: AlsFit
     users: DataFrame  # user_id, tokens
     items: DataFrame  # item_id, tokens
-    slots: int
 
 
-def _tokens(lists: DataFrame, key: str) -> DataFrame:
-    """The id and the features of an entity as hashed 64-bit tokens."""
-    own = F.concat(F.lit("id="), F.col(key).cast("string"))
-    tagged = F.transform("features", lambda f: F.concat(F.lit("f="), f))
-    tokens = F.transform(F.concat(F.array(own), tagged), lambda t: F.xxhash64(t))
-    return lists.select(key, F.array_distinct(tokens).alias("tokens"))
-
-
-def signed_target(df: DataFrame, column: str) -> DataFrame:
-    """Replace a label by +1 (positive) or -1."""
-    return df.withColumn(column, F.when(F.col(column) > 0, 1).otherwise(-1).cast("int"))
+def _tokens(lists: DataFrame, key: str, side: str) -> DataFrame:
+    """The features of an entity, marked with their side."""
+    marked = F.transform("features", lambda f: F.concat(F.lit(f"{side}="), f))
+    return lists.select(key, F.array_distinct(marked).alias("tokens"))
 
 
 def hybrid_fit(
@@ -47,17 +43,18 @@ def hybrid_fit(
     factors: int = 16,
     iterations: int = 12,
     step: float = 0.11,
-    slots: int = 1 << 12,
     progress: str | None = None,
     pos_neg: str | None = TARGET,
     quant: int = 5,
+    reg: float = 0.1,
     seed: int = 0,
 ) -> HybridFit:
     """Fit on labelled (user, item) samples.
 
-    The label is `pos_neg` > 0, or quantised `progress` > 0; the two exclude each other. Each side
-    is hashed into `slots` places, so the model on the driver has 2 x slots x (factors + 1)
-    numbers however many users and items there are.
+    The label is `pos_neg` > 0, or quantised `progress` > 0; the two exclude each other. What users and items share
+    (age, sex, genres) goes to a factorization machine with one place for each feature that occurs, so the model on
+    the driver grows with the number of features only. What is theirs alone goes to ALS over the positive samples,
+    whose factors stay in tables; there quantised progress, if it is given, is the weight of a sample.
     """
     if progress is not None and pos_neg is not None:
         raise ValueError("use either progress or pos_neg, not both")
@@ -68,51 +65,52 @@ def hybrid_fit(
     else:
         label = (quantize(progress, quant) > 0).cast("double")
     user_lists, item_lists = feature_lists(users, items)
-    u, i = _tokens(user_lists, USER), _tokens(item_lists, ITEM)
+    u, i = _tokens(user_lists, USER, "u"), _tokens(item_lists, ITEM, "i")
+    marked = stored(samples.withColumn("_label", label))
+    tokens = u.select("tokens").unionByName(i.select("tokens"))
+    size = tokens.select(F.explode("tokens")).distinct().count()
+    words = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(1, size), binary=True).fit(tokens)
     rows = (
-        samples.select(USER, ITEM, label.alias("label"))
+        marked.select(USER, ITEM, F.col("_label").alias("label"))
         .join(u.withColumnRenamed("tokens", "_ut"), USER)
         .join(i.withColumnRenamed("tokens", "_it"), ITEM)
+        .select("label", F.concat("_ut", "_it").alias("tokens"))
     )
-    hashed = HashingTF(inputCol="_ut", outputCol="_uv", numFeatures=slots, binary=True).transform(rows)
-    hashed = HashingTF(inputCol="_it", outputCol="_iv", numFeatures=slots, binary=True).transform(hashed)
-    train = VectorAssembler(inputCols=["_uv", "_iv"], outputCol="features").transform(hashed)
-    fm = FMClassifier(
-        factorSize=factors, maxIter=iterations, stepSize=step, solver="adamW", seed=seed
-    )
+    fm = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=step, solver="adamW", seed=seed)
     # Every iteration reads the samples.
-    return HybridFit(fm.fit(stored(train.select("features", "label"))), u, i, slots)
+    model = fm.fit(stored(words.transform(rows).select("features", "label")))
+    positive = marked.filter("_label > 0").drop("_label")
+    ids = als_fit(positive, rank=factors, reg=reg, iterations=iterations, weight=progress, quant=quant, seed=seed)
+    return HybridFit(model, words.vocabulary, ids, u, i)
 
 
 def side_vectors(fit: HybridFit, side: str, keys: DataFrame | None = None) -> DataFrame:
     """(id, vec, bias) of users or items: the score of a pair is bias_u + bias_i + vec_u . vec_i.
 
-    The slot of a token is the one HashingTF gives it: Murmur3 of the 64-bit token.
+    A vector is the sum of the features' factors, followed by the id's own factors (zeros if ALS has not seen it).
     """
     key = USER if side == "user" else ITEM
     table = fit.users if side == "user" else fit.items
     if keys is not None:
         table = table.join(keys.select(key).distinct(), key, "left_semi")
-    offset = 0 if side == "user" else fit.slots
-    places = F.array_distinct(
-        F.transform("tokens", lambda t: F.pmod(F.hash(t), F.lit(fit.slots)))
-    )
-    rows = table.select(key, places.alias("places"))
-    # Bounded by slots x (factors + 1), see hybrid_fit.
-    factors = fit.model.factors.toArray()[offset : offset + fit.slots]
-    linear = fit.model.linear.toArray()[offset : offset + fit.slots]
+    rows = table.join(als_factors(fit.ids, side).withColumnRenamed("vec", "_own"), key, "left")
+    # One row of factors for each feature, see hybrid_fit.
+    places = {token: n for n, token in enumerate(fit.vocabulary)}
+    factors, linear = fit.model.factors.toArray(), fit.model.linear.toArray()
+    width = fit.ids.model.rank
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vecs, biases = [], []
-            for places in batch["places"]:
-                f = factors[places]
+            for tokens, own in zip(batch["tokens"], batch["_own"]):
+                at = [places[t] for t in tokens if t in places]
+                f = factors[at]
                 total = f.sum(axis=0)
-                vecs.append(total)
-                biases.append(linear[places].sum() + 0.5 * (total @ total - (f * f).sum()))
+                vecs.append(np.concatenate([total, np.zeros(width) if own is None else own]))
+                biases.append(linear[at].sum() + 0.5 * (total @ total - (f * f).sum()))
             yield pd.DataFrame({key: batch[key], "vec": vecs, "bias": np.array(biases)})
 
-    return rows.mapInPandas(run, f"{key} bigint, vec array<double>, bias double")
+    return rows.select(key, "tokens", "_own").mapInPandas(run, f"{key} bigint, vec array<double>, bias double")
 
 
 def hybrid_recommend(

@@ -76,9 +76,8 @@ def item_knn(
     """
     by = list(by)
     weights = stored(knn_weights(df, weighting, weight, by))
-    pairs = group_pairs(
-        weights, [*by, USER], ITEM, ["w"], {"score": F.sum(F.col("w_i") * F.col("w_j"))}
-    )
+    aggs = {"score": F.sum(F.col("w_i") * F.col("w_j"))}
+    pairs = group_pairs(weights, [*by, USER], ITEM, ["w"], aggs, keep=by)
     both = mirrored(
         pairs.withColumn("score", steady("score")), {"item_i": "item_j"}
     ).select(*by, F.col("item_i").alias(ITEM), F.col("item_j").alias("similar_item_id"), "score")

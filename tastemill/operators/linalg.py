@@ -1,6 +1,6 @@
 """Principal components, singular values and explicit ALS of a tall vector table.
 
-The table has many rows and few columns. One pass over it gives the d x d Gram or scatter matrix
+The table has many rows and few columns: whoever calls this decides that a d x d matrix fits on the driver. One pass over it gives the d x d Gram or scatter matrix
 as partial sums of its partitions; the eigenproblem of that small matrix runs on the driver, and a
 second pass maps the rows.
 """
@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_COLUMNS = 4096  # bound of the d x d matrix on the driver
-
 
 def _width(df: DataFrame, col: str) -> int:
     widths = df.agg(F.min(F.size(col)), F.max(F.size(col))).first()
@@ -24,8 +22,6 @@ def _width(df: DataFrame, col: str) -> int:
         raise ValueError("no vectors")
     if widths[0] != widths[1]:
         raise ValueError("vectors differ in length")
-    if widths[0] > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} columns")
     return widths[0]
 
 
@@ -62,7 +58,7 @@ def scatter(df: DataFrame, col: str = "embedding", center: bool = True) -> DataF
 
 def _matrix(cells: DataFrame, width: int) -> np.ndarray:
     out = np.zeros((width, width))
-    found = cells.toPandas()  # width x width cells, see MAX_COLUMNS
+    found = cells.toPandas()  # width x width cells
     out[found["i"], found["j"]] = found["value"]
     return (out + out.T) / 2
 

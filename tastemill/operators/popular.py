@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.operators.blocks import attach_totals, top_per_group
+from tastemill.operators.blocks import attach_by_key, attach_totals, ordinal_rank, top_per_group
 from tastemill.operators.labels import select_pos
 from tastemill.schema import DATE, ITEM, RANK, USER
+from tastemill.session import stored
 
 
 def _recent(df: DataFrame, days: int, by: Sequence[str], date: str) -> DataFrame:
@@ -23,13 +24,20 @@ def _recent(df: DataFrame, days: int, by: Sequence[str], date: str) -> DataFrame
 
 
 def popular(
-    df: DataFrame, days: int = 30, max_k: int = 100, by: Sequence[str] = (), date: str = DATE
+    df: DataFrame, days: int = 30, max_k: int | None = 100, by: Sequence[str] = (), date: str = DATE
 ) -> DataFrame:
-    """Most interacted items of the last `days` days with rank; positives only if labelled."""
+    """Most interacted items of the last `days` days with rank; positives only if labelled.
+
+    Without `max_k` all items are ranked, which needs no single large partition (not with `by`).
+    """
     counts = (
         _recent(select_pos(df), days, by, date).groupBy(*by, ITEM).agg(F.count("*").alias("n"))
     )
     order = [F.desc("n"), F.asc(ITEM)]
+    if max_k is None:
+        if by:
+            raise ValueError("a ranking of all items is for one group only")
+        return ordinal_rank(counts, order, RANK)
     if by:
         return top_per_group(counts, by, order, max_k)
     top = counts.orderBy(*order).limit(max_k)
@@ -126,21 +134,21 @@ def fill_short(
 ) -> DataFrame:
     """Top lists shorter than k up with popular items that are neither seen nor listed yet.
 
-    `filled` marks the added rows; its sum is the number of missing recommendations.
+    `pop` should rank all items (`popular` without max_k): a user with a long history needs k + history places of it,
+    and gets just these. `filled` marks the added rows; its sum is the number of missing recommendations.
     """
+    recs = stored(recs.select(USER, ITEM, RANK))
     have = recs.groupBy(USER).agg(F.count("*").alias("_have"))
-    short = (
-        users.select(USER)
-        .distinct()
-        .join(have, USER, "left")
-        .withColumn("_have", F.coalesce("_have", F.lit(0)))
-        .filter(F.col("_have") < k)
-    )
-    depth = pop.agg(F.collect_list(F.struct(ITEM, RANK))).scalar()
+    past = seen.select(USER, ITEM).distinct().groupBy(USER).agg(F.count("*").alias("_past"))
+    short = users.select(USER).distinct().join(have, USER, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    short = short.filter(F.col("_have") < k).join(past, USER, "left")
+    depth = F.lit(k) + F.coalesce("_past", F.lit(0))
     spare = (
-        short.withColumn("_top", depth)
-        .select(USER, "_have", F.explode("_top").alias("_t"))
-        .select(USER, "_have", f"_t.{ITEM}", F.col(f"_t.{RANK}").alias("_place"))
+        attach_by_key(
+            short.select(USER, "_have", F.explode(F.sequence(F.lit(1).cast("bigint"), depth)).alias("_place")),
+            pop.select(ITEM, F.col(RANK).cast("bigint").alias("_place")),
+            ["_place"],
+        )
         .join(seen.select(USER, ITEM), [USER, ITEM], "left_anti")
         .join(recs.select(USER, ITEM), [USER, ITEM], "left_anti")
     )
@@ -150,4 +158,4 @@ def fill_short(
         .filter(F.col(RANK) <= k)
         .select(USER, ITEM, RANK, F.lit(True).alias("filled"))
     )
-    return recs.select(USER, ITEM, RANK, F.lit(False).alias("filled")).unionByName(added)
+    return recs.withColumn("filled", F.lit(False)).unionByName(added)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.expressions import steady
-from tastemill.operators.blocks import group_pairs, mirrored, top_per_group
+from tastemill.operators.blocks import attach_by_key, group_pairs, mirrored, top_per_group
 from tastemill.schema import ITEM, RANK, USER
 from tastemill.session import stored
 
@@ -107,8 +107,7 @@ def candidates(history: DataFrame, neighbors: DataFrame) -> DataFrame:
     """Neighbours of the user's items that the user has not interacted with."""
     links = neighbors.select(F.col("item_i").alias(ITEM), F.col("item_j").alias("_cand"))
     return (
-        history.select(USER, ITEM)
-        .join(links, ITEM)
+        attach_by_key(history.select(USER, ITEM), links, [ITEM])
         .select(USER, F.col("_cand").alias(ITEM))
         .distinct()
         .join(history.select(USER, ITEM), [USER, ITEM], "left_anti")
@@ -126,8 +125,11 @@ def predict_ratings(
     links = sim.filter(F.col("item_i") != F.col("item_j")).select(
         F.col("item_j").alias(ITEM), F.col("item_i").alias("_cand"), F.col("sim").alias("_w")
     )
+    # Only the candidates are summed.
+    wanted = cands.select(USER, F.col(ITEM).alias("_cand")).distinct()
     sums = (
-        history.join(links, ITEM)
+        attach_by_key(history, links, [ITEM])
+        .join(wanted, [USER, "_cand"], "left_semi")
         .groupBy(USER, F.col("_cand").alias(ITEM))
         .agg(
             F.sum(F.col("norm_rating") * F.col("_w")).alias("_num"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,44 +42,45 @@ def block_topk(
     """
     left, right = stored(left), stored(right)
     nl, nr = block_count(left, block), block_count(right, block)
-    pack = lambda cols: F.collect_list(F.struct(*cols))
-    lefts = _blocked(left, USER, nl, "_l").groupBy("_l").agg(pack([USER, "vec"]).alias("_left"))
-    rights = (
-        _blocked(right, ITEM, nr, "_r").groupBy("_r").agg(pack([ITEM, "vec", "bias"]).alias("_right"))
+    # A block is a list of ids and one flat list of numbers in the same order.
+    lefts = _blocked(left, USER, nl, "_l").groupBy("_l").agg(
+        F.collect_list(USER).alias("_users"), F.flatten(F.collect_list(as_doubles("vec"))).alias("_x")
+    )
+    rights = _blocked(right, ITEM, nr, "_r").groupBy("_r").agg(
+        F.collect_list(ITEM).alias("_items"),
+        F.flatten(F.collect_list(as_doubles("vec"))).alias("_y"),
+        F.collect_list(F.col("bias").cast("double")).alias("_bias"),
     )
     work = lefts.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).join(rights, "_r")
     if seen is not None:
         pairs = _blocked(_blocked(seen.select(USER, ITEM), USER, nl, "_l"), ITEM, nr, "_r")
-        known = pairs.groupBy("_l", "_r").agg(pack([USER, ITEM]).alias("_seen"))
+        known = pairs.groupBy("_l", "_r").agg(
+            F.collect_list(USER).alias("_seen_users"), F.collect_list(ITEM).alias("_seen_items")
+        )
         work = work.join(known, ["_l", "_r"], "left")
     else:
-        work = work.withColumn("_seen", F.lit(None).cast(f"array<struct<{USER}:bigint,{ITEM}:bigint>>"))
-    work = work.select("_left", "_right", "_seen")
+        none = F.lit(None).cast("array<bigint>")
+        work = work.withColumns({"_seen_users": none, "_seen_items": none})
+    work = work.select("_users", "_x", "_items", "_y", "_bias", "_seen_users", "_seen_items")
 
     def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b, known in zip(batch["_left"], batch["_right"], batch["_seen"]):
-                users = np.array([r[USER] for r in a], dtype=np.int64)
-                items = np.array([r[ITEM] for r in b], dtype=np.int64)
-                # Ascending item ids make the stable sort break ties by id.
-                by_id = np.argsort(items)
-                items = items[by_id]
-                x = np.array([r["vec"] for r in a], dtype=np.float64)
-                y = np.array([r["vec"] for r in b], dtype=np.float64)[by_id]
+            for users, x, items, y, bias, seen_users, seen_items in batch.itertuples(index=False):
+                # Ascending ids make the stable sort break ties by id, and let pairs be looked up.
+                rows, columns = np.argsort(users), np.argsort(items)
+                users, items = users[rows], items[columns]
+                x = x.reshape(len(users), -1)[rows]
+                y = y.reshape(len(items), -1)[columns]
                 if metric == "l2":
                     far = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
                     scores = -np.floor(np.sqrt(np.maximum(far, 0.0)) * 1e6 + 0.5) / 1e6
                 else:
-                    bias = np.array([r["bias"] for r in b], dtype=np.float64)[by_id]
-                    scores = np.floor((x @ y.T + bias[None, :]) * 1e9 + 0.5) / 1e9
-                if known is not None and len(known):
-                    row = {u: n for n, u in enumerate(users)}
-                    col = {i: n for n, i in enumerate(items)}
-                    hit = [(row.get(p[USER]), col.get(p[ITEM])) for p in known]
-                    hit = [p for p in hit if p[0] is not None and p[1] is not None]
-                    if hit:
-                        r, c = zip(*hit)
-                        scores[list(r), list(c)] = -np.inf
+                    scores = np.floor((x @ y.T + bias[columns][None, :]) * 1e9 + 0.5) / 1e9
+                if seen_users is not None:
+                    r, c = np.searchsorted(users, seen_users), np.searchsorted(items, seen_items)
+                    r, c = np.minimum(r, len(users) - 1), np.minimum(c, len(items) - 1)
+                    hit = (users[r] == seen_users) & (items[c] == seen_items)
+                    scores[r[hit], c[hit]] = -np.inf
                 take = min(k, len(items))
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
                 top = np.take_along_axis(scores, best, axis=1)
@@ -176,9 +178,9 @@ def embed(df: DataFrame, weights: dict[str, np.ndarray], batch_col: str = ITEM)
             feats = np.stack(batch["features"].to_numpy()).astype(np.float64)
             hidden = feats @ layer["w_feat"] + layer["b_feat"]
             hidden = np.concatenate([vec, hidden], axis=1) @ layer["w_hid"] + layer["b_hid"]
-            # GELU in its tanh form.
-            inner = np.sqrt(2.0 / np.pi) * (hidden + 0.044715 * hidden**3)
-            out = (0.5 * hidden * (1.0 + np.tanh(inner))) @ layer["w_out"]
+            # GELU in its exact form.
+            erf = np.frompyfunc(math.erf, 1, 1)(hidden / np.sqrt(2.0)).astype(np.float64)
+            out = (0.5 * hidden * (1.0 + erf)) @ layer["w_out"]
             yield pd.DataFrame({batch_col: batch[batch_col], "vec": list(out.astype(np.float32))})
 
     return df.select(batch_col, "vec", "features").mapInPandas(run, f"{batch_col} bigint, vec array<float>")

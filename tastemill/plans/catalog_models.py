@@ -222,7 +222,7 @@ def r7(spark, d):
 
 @query("r8_als_fit")
 def r8(spark, d):
-    fit = als.als_fit(stored(I.clean_interactions(spark, d)), rank=16, iterations=5, weight="progress", seed=7)
+    fit = als.als_fit(stored(I.clean_interactions(spark, d)), weight="progress", seed=7)
     sides = (("user", fit.model.userFactors), ("item", fit.model.itemFactors))
     parts = [f.select(F.lit(s).alias("side"), "id", "features") for s, f in sides]
     return parts[0].unionByName(parts[1])
@@ -231,7 +231,7 @@ def r8(spark, d):
 @query("r9_als_recommend")
 def r9(spark, d):
     df = stored(I.clean_interactions(spark, d))
-    return als.als_recommend(als.als_fit(df, rank=16, iterations=5, seed=7), df, df, 10)
+    return als.als_recommend(als.als_fit(df, seed=7), df, df, 10)
 
 
 @query(
@@ -241,17 +241,22 @@ def r9(spark, d):
         select user_id, item_id, have + extra as rank, true as filled from
         (select e.user_id, p.item_id, coalesce(c.have, 0) as have, row_number() over
          (partition by e.user_id order by p.rank) as extra from everyone e left join
-         (select user_id, count(*) as have from recs group by user_id) c using (user_id), pop p
+         (select user_id, count(*) as have from recs group by user_id) c using (user_id), ranked p
          where coalesce(c.have, 0) < 30
          and not exists (select 1 from inter i where i.user_id = e.user_id and i.item_id = p.item_id)
          and not exists (select 1 from recs r where r.user_id = e.user_id and r.item_id = p.item_id))
         where have + extra <= 30""",
         "recs",
         "everyone",
-        "pop",
+        "ranked",
         extra={
             **_knn_ctes("inter", k=1),
             **POP_CTES,
+            "ranked": (
+                """select item_id, row_number() over (order by count(*) desc, item_id) as rank
+                from recent group by item_id""",
+                ("recent",),
+            ),
             "recs": (_recs_sql("inter", "cosine_nbr", 30), ("inter", "cosine_nbr")),
         },
     ),
@@ -260,7 +265,7 @@ def r10(spark, d):
     # One neighbour per item leaves many lists short of thirty.
     df = stored(I.interactions(spark, d))
     recs = knn.knn_recommend(df, df, knn.item_knn(df, "cosine", k=1), 30)
-    return popular.fill_short(recs, df, popular.popular(df), df, 30)
+    return popular.fill_short(recs, df, popular.popular(df, max_k=None), df, 30)
 
 
 @query("r11_hybrid_fit")
@@ -270,7 +275,7 @@ def r11(spark, d):
 
 
 def _hybrid(spark, d):
-    return hybrid.hybrid_fit(labelled(spark, d), I.users(spark, d), I.items(spark, d), factors=8, iterations=5)
+    return hybrid.hybrid_fit(labelled(spark, d), I.users(spark, d), I.items(spark, d))
 
 
 @query("r12_hybrid_recommend")
@@ -693,6 +698,15 @@ def m10(spark, d):
     return mean.withColumn("mean_intra_list_div", steady("mean_intra_list_div", 6))
 
 
+_CV_WEIGHTS = {
+    "cosine": "1.0::double / sqrt(li)",
+    "tfidf": """ln(ni * 1.0::double / (1 + du))
+        / sqrt(sum(pow(ln(ni * 1.0::double / (1 + du)), 2)) over (partition by fold, item_id))""",
+    "bm25": """2.2::double / (1 + 1.2::double * (0.25::double + 0.75::double * li / al))
+        * ln(ni * 1.0::double / (1 + du))""",
+}
+
+
 def _cv_ctes(model: str) -> dict:
     """Lists of a model fitted on the labelled train rows of every main fold."""
     base = {
@@ -764,9 +778,8 @@ def _cv_ctes(model: str) -> dict:
                 ("cv_li",),
             ),
             "cv_w": (
-                """select fold, user_id, item_id, 2.2::double / (1 + 1.2::double * (0.25::double + 0.75::double * li / al))
-                * ln(ni * 1.0::double / (1 + du)) as w from cv_pos join cv_du using (fold, user_id)
-                join cv_li using (fold, item_id) join cv_tot using (fold)""",
+                f"""select fold, user_id, item_id, {_CV_WEIGHTS[model]} as w from cv_pos
+                join cv_du using (fold, user_id) join cv_li using (fold, item_id) join cv_tot using (fold)""",
                 ("cv_pos", "cv_du", "cv_li", "cv_tot"),
             ),
             "cv_nbr": (
@@ -813,7 +826,7 @@ def _cv(spark, d, model: str, **params) -> DataFrame:
     return scores.withColumn("value", steady("value", 6))
 
 
-for _model in ("popular", "popular_by_age", "bm25"):
+for _model in ("popular", "popular_by_age", "cosine", "tfidf", "bm25"):
 
     @query(f"m11_cv_{_model}", _cv_sql(_model))
     def m11(spark, d, model=_model):
@@ -822,7 +835,28 @@ for _model in ("popular", "popular_by_age", "bm25"):
 
 @query("m11_cv_als")
 def m11_als(spark, d):
-    return _cv(spark, d, "als", folds=2, rank=8, iterations=3, reg=0.1, weight="progress")
+    return _cv(spark, d, "als", weight="progress")
+
+
+@query("m11_cv_hybrid")
+def m11_hybrid(spark, d):
+    return _cv(spark, d, "hybrid")
+
+
+@query("jobs_parameter_search")
+def parameter_search(spark, d):
+    choices = [{"rank": 16, "reg": 0.1}, {"rank": 16, "reg": 1.0}]
+    found = jobs.parameter_search(
+        I.clean_interactions(spark, d), I.users(spark, d), I.items(spark, d), "als", choices, 30, 2
+    )
+    rows = [(n, p["rank"], p["reg"], value) for n, (value, p) in enumerate(found, 1)]
+    return spark.createDataFrame(rows, "place int, rank int, reg double, mean_map double")
+
+
+@query("r7_als_similar_items")
+def r7_als(spark, d):
+    df = I.clean_interactions(spark, d)
+    return als.als_similar_items(als.als_fit(df, weight="progress", seed=7), df.select("item_id"), 10)
 
 
 @query(
@@ -1049,7 +1083,7 @@ def f9(spark, d):
 
 # --- two-stage ranking -------------------------------------------------------------------------
 
-_ALS = {"rank": 16, "iterations": 5, "reg": 0.1, "seed": 1123}
+_ALS = {"rank": 64, "iterations": 10, "reg": 0.1, "seed": 1123}
 
 
 def _stages(spark, d):
@@ -1079,7 +1113,7 @@ def t2(spark, d):
 
 def _ranker(spark, d):
     samples = stored(t2(spark, d))
-    return samples, ranking.fit_ranker(samples, iterations=10)
+    return samples, ranking.fit_ranker(samples)
 
 
 @query("t3_ranker_scores")
@@ -1109,7 +1143,6 @@ def t5(spark, d):
         I.users(spark, d),
         I.items(spark, d),
         interval_days=30,
-        trees=10,
         **_ALS,
     )
 
@@ -1137,9 +1170,12 @@ def prepare(spark, d):
 def network(spark, d):
     made = jobs.prepare_samples(I.interactions(spark, d), I.users(spark, d), I.items(spark, d), 30)
     users, items = jobs.network_features(made)
-    return users.select(F.lit("user").alias("side"), F.col(USER).alias("id"), F.lit(len(users.columns) - 1).alias("features")).unionByName(
-        items.select(F.lit("item").alias("side"), F.col(ITEM).alias("id"), F.lit(len(items.columns) - 1).alias("features"))
-    )
+    sides = []
+    for side, key, frame in (("user", USER, users), ("item", ITEM, items)):
+        flags = [c for c in frame.columns if c != key]
+        long = frame.unpivot(key, flags, "feature", "flag")
+        sides.append(long.select(F.lit(side).alias("side"), F.col(key).alias("id"), "feature", "flag"))
+    return sides[0].unionByName(sides[1])
 
 
 # --- vectors -----------------------------------------------------------------------------------

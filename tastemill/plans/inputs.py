@@ -74,10 +74,6 @@ def centroids(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(USER, F.transform("_v", lambda c: c["x"]).alias("vec"))
 
 
-def holdout_dates() -> tuple[str, str]:
-    return "2000-06-01", "2001-08-02"
-
-
 # SQL of the same views: name -> (text, names of the views it reads).
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "inter_raw": (

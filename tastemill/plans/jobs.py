@@ -64,14 +64,15 @@ def cross_validate(
     k: int = 10,
     start=None,
     separate_k: bool = False,
+    made: Folds | None = None,
     **params,
 ) -> DataFrame:
     """Metrics per fold: name[, k], value, model, start_date, end_date, fold.
 
     Count-based models fit all folds in one plan with the fold as a key. ALS and the hybrid model
-    are iterative, so they run one fold after the other.
+    are iterative, so they run one fold after the other. `made` takes folds that are there already.
     """
-    made = labelled_folds(df, interval_days, folds, start)
+    made = made or labelled_folds(df, interval_days, folds, start)
     truth = select_pos(made.test)
     if model in COUNT_MODELS:
         recs = _recommend(model, made.train, truth, users, k, [FOLD])
@@ -79,7 +80,7 @@ def cross_validate(
     elif model in ("als", "hybrid"):
         numbers = sorted(r[FOLD] for r in made.folds.collect())
         if not numbers:
-            raise ValueError("the date range holds no fold")
+            raise ValueError("no rows, so no folds")
         parts = []
         for number in numbers:
             train = made.train.filter(F.col(FOLD) == number).drop(FOLD)
@@ -113,12 +114,21 @@ def cross_validate(
 
 
 def parameter_search(
-    df: DataFrame, users: DataFrame, items: DataFrame, model: str, choices: Sequence[dict], k: int = 10, **cv
+    df: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    model: str,
+    choices: Sequence[dict],
+    interval_days: int,
+    folds: int,
+    k: int = 10,
+    start=None,
 ) -> list[tuple[float, dict]]:
-    """Mean MAP@k of each parameter set, best first."""
+    """Mean MAP@k of each parameter set, best first. The folds are built once for all of them."""
+    made = labelled_folds(df, interval_days, folds, start)
     found = []
     for params in choices:
-        scores = cross_validate(df, users, items, model, k=k, **cv, **params)
+        scores = cross_validate(df, users, items, model, interval_days, folds, k, made=made, **params)
         found.append((metrics.mean_map(scores, k).first()[0], params))
     return sorted(found, key=lambda pair: -(pair[0] or 0.0))
 

@@ -64,25 +64,3 @@ FILM_USERS = _struct(
     ("occupation", T.StringType()),
     ("zip_code", T.StringType()),
 )
-
-INTERACTIONS = _struct(
-    (USER, T.LongType()),
-    (ITEM, T.LongType()),
-    (PROGRESS, T.ShortType()),
-    (RATING, T.DoubleType()),
-    (DATE, T.DateType()),
-)
-
-ITEMS = _struct(
-    ("id", T.LongType()),
-    ("title", T.StringType()),
-    ("genres", T.StringType()),
-    ("authors", T.StringType()),
-    ("year", T.StringType()),
-)
-
-USERS = _struct(
-    (USER, T.LongType()),
-    ("age", T.StringType()),
-    ("sex", T.StringType()),
-)

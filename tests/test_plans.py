@@ -1,6 +1,7 @@
 """The plans that matter at scale: pushdown, pruning, no cross product, no Python rows."""
 
 import datetime as dt
+import re
 
 import pytest
 
@@ -61,3 +62,24 @@ def test_holdout_is_two_filters(inter):
     for part in folds.holdout(inter, dt.date(2000, 1, 1), dt.date(2001, 1, 1)):
         text = plan(part)
         assert "Exchange" not in text and "PushedFilters: [IsNotNull(start_date)" in text
+
+
+def test_no_shuffle_on_folds_alone(spark, inter):
+    """With broadcasts by size off, nothing is dealt by the fold alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = folds.make_folds(inter, 30, 2)
+        train, test = folds.split(inter, made)
+        text = plan(popular.popular_recommend(test, popular.popular(train, by=["fold"]), 10, ["fold"]))
+        text += plan(knn.knn_weights(train, "bm25", by=["fold"]))
+        keys = re.findall(r"SortMergeJoin \[([^\]]*)\]", text)
+        assert all(re.sub(r"#\d+L?", "", k) != "fold" for k in keys)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scoring_all_items_is_no_cross_product(spark, inter):
+    from tastemill.operators import als
+
+    text = plan(als.als_recommend(als.als_fit(inter, rank=2, iterations=1), inter, inter, 5))
+    assert "CartesianProduct" not in text and "NestedLoop" not in text

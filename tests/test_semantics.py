@@ -1,12 +1,26 @@
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tastemill.operators import als, clean, folds, hybrid, knn, labels, linalg, metrics, popular, similarity
+from tastemill.operators import (
+    als,
+    clean,
+    features,
+    folds,
+    hybrid,
+    knn,
+    labels,
+    linalg,
+    metrics,
+    popular,
+    similarity,
+    vectors,
+)
 
 DAY = dt.date(2020, 1, 1)
 
@@ -147,23 +161,25 @@ def test_hybrid_score_is_the_model_score(spark):
     df = two_blocks(spark).withColumn("target", ((F.col("user_id") + F.col("item_id")) % 2).cast("tinyint"))
     users = spark.createDataFrame([(u, "a" if u < 10 else None, "0") for u in range(20)], "user_id bigint, age string, sex string")
     items = spark.createDataFrame([(i, "x,y" if i % 3 else None) for i in range(20)], "item_id bigint, genres string")
-    fit = hybrid.hybrid_fit(df, users, items, factors=3, iterations=3, slots=256)
-    from pyspark.ml.feature import HashingTF, VectorAssembler
+    fit = hybrid.hybrid_fit(df, users, items, factors=3, iterations=3)
+    from pyspark.ml.feature import CountVectorizerModel
 
     pairs = (
         df.select("user_id", "item_id")
         .join(fit.users.withColumnRenamed("tokens", "_ut"), "user_id")
         .join(fit.items.withColumnRenamed("tokens", "_it"), "item_id")
+        .withColumn("tokens", F.concat("_ut", "_it"))
     )
-    for a, b in (("_ut", "_uv"), ("_it", "_iv")):
-        pairs = HashingTF(inputCol=a, outputCol=b, numFeatures=256, binary=True).transform(pairs)
-    wide = VectorAssembler(inputCols=["_uv", "_iv"], outputCol="features").transform(pairs)
+    words = CountVectorizerModel.from_vocabulary(fit.vocabulary, inputCol="tokens", outputCol="features")
+    wide = words.setBinary(True).transform(pairs)
     model = fit.model.transform(wide).select("user_id", "item_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    ids = fit.ids.model.transform(pairs.join(fit.ids.users, "user_id").join(fit.ids.items, "item_id"))
+    own = {(r.user_id, r.item_id): r.prediction for r in ids.collect()}
     u = {r.user_id: (np.array(r.vec), r.bias) for r in hybrid.side_vectors(fit, "user").collect()}
     i = {r.item_id: (np.array(r.vec), r.bias) for r in hybrid.side_vectors(fit, "item").collect()}
     for r in model.collect():
         mine = fit.model.intercept + u[r.user_id][1] + i[r.item_id][1] + u[r.user_id][0] @ i[r.item_id][0]
-        assert mine == pytest.approx(r.raw, abs=1e-9)
+        assert mine == pytest.approx(r.raw + own.get((r.user_id, r.item_id), 0.0), abs=1e-5)
     recs = hybrid.hybrid_recommend(fit, df, df, 4)
     assert recs.join(df, ["user_id", "item_id"]).count() == 0
     with pytest.raises(ValueError):
@@ -218,3 +234,63 @@ def test_same_result_for_other_partition_counts(spark):
         results.append(sorted(map(tuple, knn.knn_recommend(df, df, near, 3).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_short_lists_are_filled_past_a_long_history(spark):
+    pop = spark.createDataFrame([(i, i) for i in range(1, 301)], "item_id bigint, rank bigint")
+    seen = spark.createDataFrame([(1, i) for i in range(1, 251)] + [(2, 2)], "user_id bigint, item_id bigint")
+    recs = spark.createDataFrame([(1, 252, 1), (2, 9, 1)], "user_id bigint, item_id bigint, rank bigint")
+    found = popular.fill_short(recs, seen, pop, seen, 4).orderBy("user_id", "rank").collect()
+    assert [(r.user_id, r.item_id, r.rank, r.filled) for r in found] == [
+        (1, 252, 1, False), (1, 251, 2, True), (1, 253, 3, True), (1, 254, 4, True),
+        (2, 9, 1, False), (2, 1, 2, True), (2, 3, 3, True), (2, 4, 4, True),
+    ]
+
+
+def test_pairs_without_one_row_per_side_fail(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [("a", 1, 5, 1, day, 0.5), ("a", 1, 6, 0, day, 0.25)]
+    schema = "pair_id string, group_id bigint, item_id bigint, target int, start_date date, x double"
+    good = features.pairwise_set(spark.createDataFrame(rows, schema), ["x"]).collect()
+    assert [(r.pos_item, r.neg_item, r.pos_x, r.neg_x) for r in good] == [(5, 6, 0.5, 0.25)]
+    bad = spark.createDataFrame([*rows, ("a", 1, 7, 0, day, 0.0)], schema)
+    with pytest.raises(Exception, match="not one row per side"):
+        features.pairwise_set(bad).collect()
+
+
+def test_no_fold_in_the_range_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 50, dt.date(2020, 1, d)) for d in range(1, 20)], "user_id bigint, item_id bigint, progress int, start_date date")
+    with pytest.raises(ValueError, match="no fold"):
+        folds.make_folds(df, 1, 7, start=dt.date(2050, 1, 1))
+
+
+def test_neighbours_within_any_segment(spark):
+    data = [(s, u, i) for s in ("a", "b") for u in range(6) for i in range(4) if (u + i) % 3]
+    df = spark.createDataFrame(data, "seg string, user_id bigint, item_id bigint")
+    apart = knn.item_knn(df, by=["seg"])
+    single = knn.item_knn(df.filter("seg = 'a'").drop("seg"))
+    found = apart.filter("seg = 'b'").drop("seg").select(*single.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, single.collect()))
+
+
+def test_embedding_layers_are_exact(spark):
+    rng = np.random.default_rng(3)
+    weights = {"w_feat": rng.normal(size=(2, 3)), "b_feat": rng.normal(size=3), "w_hid": rng.normal(size=(7, 5)),
+               "b_hid": rng.normal(size=5), "w_out": rng.normal(size=(5, 2))}
+    df = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.0], [1.0, -2.0])], "item_id bigint, vec array<double>, features array<double>")
+    found = vectors.embed(df, weights).first().vec
+    hidden = np.concatenate([[0.5, -1.0, 2.0, 0.0], np.array([1.0, -2.0]) @ weights["w_feat"] + weights["b_feat"]]) @ weights["w_hid"] + weights["b_hid"]
+    gelu = [0.5 * h * (1 + math.erf(h / math.sqrt(2))) for h in hidden]
+    assert np.allclose(found, np.array(gelu) @ weights["w_out"], atol=1e-6)
+
+
+def test_hybrid_users_with_equal_features_differ(spark):
+    # Two tastes; all users and items have the same features, so only the ids tell them apart.
+    data = [(u, i, 1) for u in range(20) for i in range(20) if u % 2 == i % 2 and (u + i) % 8]
+    data += [(u, i, 0) for u in range(20) for i in range(20) if u % 2 != i % 2 and (u + i) % 5 == 0]
+    samples = spark.createDataFrame(data, "user_id bigint, item_id bigint, target int")
+    users = spark.createDataFrame([(u, "x", "y") for u in range(20)], "user_id bigint, age string, sex string")
+    items = spark.createDataFrame([(i, "g") for i in range(20)], "item_id bigint, genres string")
+    fit = hybrid.hybrid_fit(samples, users, items, factors=2, iterations=5)
+    found = [r for r in hybrid.hybrid_recommend(fit, users, samples, 2).collect() if r.rank == 1]
+    assert np.mean([r.user_id % 2 == r.item_id % 2 for r in found]) >= 0.9
