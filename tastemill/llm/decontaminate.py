@@ -16,17 +16,38 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _split(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN)
+
+
+def _lead(parts: str = "parts") -> Column:
+    """1 if the first part is empty, as the text starts between words."""
+    return F.when(F.col(parts)[0] == "", 1).otherwise(0)
+
+
+def _size(parts: str = "parts") -> Column:
+    """Number of words: only the first and the last part can be empty."""
+    return F.greatest(F.size(parts) - _lead(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0), F.lit(0))
+
+
 def with_words(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     """The columns `keep` and `words`: the words of a text as they stand, an empty array for null."""
-    split = df.select(*keep, F.split(F.coalesce(text, F.lit("")), BETWEEN).alias("parts"))
-    # Only the first and the last part can be empty.
-    start = F.when(F.col("parts")[0] == "", 2).otherwise(1)
-    size = F.size("parts") - F.when(F.element_at("parts", -1) == "", 1).otherwise(0) - start + 1
-    return split.select(*keep, F.slice("parts", start, F.greatest(size, F.lit(0))).alias("words"))
+    parts = df.select(*keep, _split(text).alias("parts"))
+    return parts.select(*keep, F.slice("parts", _lead() + 1, _size()).alias("words"))
+
+
+def _term(word: Column) -> Column:
+    """What a word is looked up by: 64 bits of its letters folded to lower case in full."""
+    return F.xxhash64(word)
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, letter by letter: the one letter whose lower case depends on its place is replaced before."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
 
 
 def windows_of(benchmark: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(item, phrase, length, terms): the distinct windows of each item; terms are array<struct<offset, term>>."""
+    """(item, phrase, length): the distinct windows of each item, words joined by blanks."""
     named = benchmark.select(F.col(id).alias("item"), F.translate(text, UPPER, LOWER).alias("text"))
     items = with_words(named, F.col("text"), "item").filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(width))
@@ -37,9 +58,10 @@ def windows_of(benchmark: DataFrame, id: str, text: str, width: int) -> DataFram
 
 
 def tokens(docs: DataFrame, text: str) -> DataFrame:
-    """(doc, pos, term): every word of every document. Terms are folded to lower case in full, to be looked up."""
-    spread = with_words(docs, F.col(text), "doc").select("doc", F.posexplode("words").alias("pos", "word"))
-    return spread.select("doc", "pos", F.lower("word").alias("term"))
+    """(doc, pos, term): every word of every document, to be looked up."""
+    parts = docs.select("doc", _split(_folded(F.col(text))).alias("parts"))
+    spread = parts.select("doc", _lead().alias("lead"), F.posexplode("parts").alias("at", "word"))
+    return spread.select("doc", (F.col("at") - F.col("lead")).alias("pos"), _term(F.col("word")).alias("term"))
 
 
 def rarest_terms(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
@@ -47,7 +69,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     spelled = windows.select("phrase").distinct()
     spelled = stored(
         spelled.select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "word")).select(
-            "phrase", "offset", F.lower("word").alias("term")
+            "phrase", "offset", _term(_folded(F.col("word"))).alias("term")
         )
     )
     vocabulary = stored(spelled.select("term").distinct())
@@ -113,7 +135,8 @@ def phrase_matches(
     phrases = stored(
         windows.select(F.xxhash64("phrase").alias("phrase_id"), "phrase", "length").distinct()
     )
-    texts = docs.select("doc", "text").join(found, "doc")
+    # Always by a shuffle of the texts, whose size is in proportion to the input.
+    texts = docs.select("doc", "text").join(found.hint("merge"), "doc")
     worded = with_words(texts, F.col("text"), "doc", "places")
     spans = worded.select("doc", "words", F.explode("places").alias("place")).select(
         "doc",
@@ -164,8 +187,8 @@ def contamination(
     named = F.array_sort(F.collect_set(F.col("item").cast("string")))
     found = found.groupBy("doc").agg(named.alias("items"))
     marks = stored(words.join(found, "doc"))
-    sized = with_words(keyed, F.col("text"), "id", "text_key", "doc")
-    sized = sized.select("id", "text_key", "doc", F.size("words").cast("bigint").alias("n_words"))
+    sized = keyed.select("id", "text_key", "doc", _split(F.col("text")).alias("parts"))
+    sized = sized.select("id", "text_key", "doc", _size().cast("bigint").alias("n_words"))
     joined = sized.join(marks, "doc", "left")
     none = F.array().cast("array<string>")
     return joined.select(
