@@ -16,6 +16,8 @@ SAMPLE, CALIBRATE = 12_000, 5
 BITS, WIDTH, GRAMS, PASSES, STEP = 17, 8, (3, 4, 5), 5, 1.0
 #: Texts of the sample that a subword must occur in: at least this many, or this share of a small sample.
 LEAST, LEAST_SHARE = 20, 0.005
+#: Deviations by which a subword's count in one class must differ from its share of all texts.
+TELLING = 4.0
 
 
 def bag(text: bytes) -> np.ndarray:
@@ -28,8 +30,21 @@ def bag(text: bytes) -> np.ndarray:
     return np.flatnonzero(found).astype(np.int32)
 
 
+def _telling(bags: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Buckets that are in enough texts and more or less often in toxic ones than chance has it (else all in enough)."""
+    spread = np.bincount(np.concatenate(bags), minlength=1 << BITS)
+    toxic = np.bincount(np.concatenate([b for b, y in zip(bags, labels) if y]), minlength=1 << BITS)
+    share = labels.mean()
+    odd = np.abs(toxic - spread * share) >= TELLING * np.sqrt(spread * share * (1 - share))
+    often = spread >= min(LEAST, max(1, LEAST_SHARE * len(bags)))
+    return often & odd if (often & odd).any() else often
+
+
 class Model:
-    """Vectors of subword buckets and a two-way softmax over their average, fitted together."""
+    """Vectors of subword buckets and a two-way softmax over their average, fitted together.
+
+    Only buckets that tell the classes apart have vectors: all others would learn the sample by heart.
+    """
 
     def __init__(self):
         self.scores = np.zeros(1 << BITS)
@@ -48,8 +63,7 @@ class Model:
         train = np.flatnonzero(~spare)
         if len(set(labels[train])) < 2 or len(set(labels[spare])) < 2:
             train, spare = np.arange(len(bags)), np.ones(len(bags), bool)
-        spread = np.bincount(np.concatenate([bags[i] for i in train]), minlength=1 << BITS)
-        self.known = spread >= min(LEAST, max(1, LEAST_SHARE * len(train)))
+        self.known = _telling([bags[i] for i in train], labels[train])
         bags = [b[self.known[b]] for b in bags]
 
         vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH))
