@@ -271,9 +271,10 @@ def quantile_split(df: DataFrame, q: float = 0.6, date: str = DATE) -> tuple[Dat
 def split_by_user(
     df: DataFrame, weights: Sequence[tuple[str, float]], seed: int = 0, name: str = "part"
 ) -> DataFrame:
-    """Put every user into one named part by hash; the same user and seed always agree."""
+    """Put every user into one named part by an MD5 hash; the same user and seed always agree."""
     total = sum(w for _, w in weights)
-    bucket = F.pmod(F.xxhash64(F.col(USER), F.lit(seed)), F.lit(10_000)) / F.lit(10_000.0)
+    digest = F.md5(F.concat_ws("-", F.col(USER).cast("string"), F.lit(str(seed))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000 / F.lit(10_000.0)
     edge, choice = 0.0, None
     for part, weight in weights[:-1]:
         edge += weight / total

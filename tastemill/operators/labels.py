@@ -110,12 +110,13 @@ def sample_negatives(
 ) -> DataFrame:
     """Exactly `ratio` x positives (or all) of the candidates that are no hit.
 
-    Rows are ordered by a seeded hash of the pair. A histogram of the hash's top 16 bits finds
-    how many rows each bucket gives, and rows are ranked inside their (small, even) bucket.
+    Rows are ordered by a seeded MD5 hash of the pair. A histogram of the hash's first 16 bits finds the bucket in
+    which the wanted number is reached: the buckets before it are taken by a filter, and only its own rows are ranked.
     """
     pool = candidates.join(positives.select(USER, ITEM), [USER, ITEM], "left_anti").withColumn(
-        "_h", F.xxhash64(F.col(USER), F.col(ITEM), F.lit(seed))
-    ).withColumn("_bucket", F.shiftright("_h", 48).cast("int"))
+        "_h", F.md5(F.concat_ws("-", F.col(USER).cast("string"), F.col(ITEM).cast("string"), F.lit(str(seed))))
+    )
+    pool = pool.withColumn("_bucket", F.substring("_h", 1, 4))
     wanted = positives.agg(F.count("*") * ratio).scalar()
     sizes = pool.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most 65,536 rows
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -123,14 +124,16 @@ def sample_negatives(
         sizes.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
         .withColumn("_wanted", wanted)
         .filter(F.col("_before") < F.col("_wanted"))
-        .select("_bucket", (F.col("_wanted") - F.col("_before")).alias("_room"))
+        .select("_bucket", "_n", (F.col("_wanted") - F.col("_before")).alias("_room"))
     )
+    met = pool.join(F.broadcast(edges), "_bucket")
+    whole = met.filter(F.col("_n") <= F.col("_room"))
     within = Window.partitionBy("_bucket").orderBy("_h", USER, ITEM)
+    edge = met.filter(F.col("_n") > F.col("_room")).withColumn("_at", F.row_number().over(within))
+    edge = edge.filter(F.col("_at") <= F.col("_room")).drop("_at")
     return (
-        pool.join(F.broadcast(edges), "_bucket")
-        .withColumn("_at", F.row_number().over(within))
-        .filter(F.col("_at") <= F.col("_room"))
-        .drop("_h", "_bucket", "_room", "_at")
+        whole.unionByName(edge)
+        .drop("_h", "_bucket", "_n", "_room")
         .withColumn(TARGET, F.lit(0).cast("tinyint"))
     )
 

@@ -509,7 +509,15 @@ def s11(spark, d):
     )
 
 
-@query("s12_split_by_user")
+@query(
+    "s12_split_by_user",
+    sql(
+        """select user_id, item_id, case when b < 0.7 / (0.7 + 0.21 + 0.09) then 'train'
+        when b < 0.7 / (0.7 + 0.21 + 0.09) + 0.21 / (0.7 + 0.21 + 0.09) then 'test' else 'early_stop' end as part
+        from (select *, ('0x' || substr(md5(user_id || '-244'), 1, 8))::bigint % 10000 / 10000.0::double as b from inter)""",
+        "inter",
+    ),
+)
 def s12(spark, d):
     weights = [("train", 0.7), ("test", 0.21), ("early_stop", 0.09)]
     return folds.split_by_user(I.interactions(spark, d), weights, 244).select(USER, ITEM, "part")

@@ -228,6 +228,51 @@ def r8(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+def _contract(recs: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row: users and rows of top lists, and counts of what must not be: gaps in ranks, double and seen items."""
+    lists = recs.groupBy(USER).agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct(ITEM).alias("items"))
+    repeats = recs.join(seen.select(USER, ITEM), [USER, ITEM], "left_semi").agg(F.count("*")).scalar()
+    return lists.agg(
+        F.count("*").alias("users"),
+        F.sum("n").alias("listed"),
+        F.count_if(F.col("last") != F.col("n")).alias("gaps"),
+        F.count_if(F.col("items") != F.col("n")).alias("doubles"),
+    ).withColumn("seen", repeats)
+
+
+def _contract_sql(items: str) -> str:
+    return f"""select count(*) as users, sum(least(10, total - n))::bigint as listed, 0::bigint as gaps,
+        0::bigint as doubles, 0::bigint as seen from (select user_id, count(*) as n from history group by user_id),
+        ({items}) where least(10, total - n) > 0"""
+
+
+@query(
+    "r9_contract",
+    sql(
+        _contract_sql("select count(distinct item_id) as total from history"),
+        "history",
+        extra={"history": ("select * from clean", ("clean",))},
+    ),
+)
+def r9_contract(spark, d):
+    df = stored(I.clean_interactions(spark, d))
+    return _contract(stored(r9(spark, d)), df)
+
+
+@query(
+    "r12_contract",
+    sql(
+        _contract_sql("select count(*) as total from items"),
+        "history",
+        "items",
+        extra={"history": ("select * from inter where user_id in (select user_id from users)", ("inter", "users"))},
+    ),
+)
+def r12_contract(spark, d):
+    df = stored(I.interactions(spark, d))
+    return _contract(stored(r12(spark, d)), df)
+
+
 @query("r9_als_recommend")
 def r9(spark, d):
     df = stored(I.clean_interactions(spark, d))
@@ -1092,7 +1137,19 @@ def _stages(spark, d):
     return fit, early, late, cands
 
 
-@query("n7_sample_negatives")
+@query(
+    "n7_sample_negatives",
+    sql(
+        """select user_id, item_id, rank, 0::tinyint as target from (select *, row_number() over
+        (order by md5(user_id || '-' || item_id || '-10'), user_id, item_id) as place from hrecs
+        where (user_id, item_id) not in (select (user_id, item_id) from htest))
+        where place <= (select 2 * count(*) from hrecs where (user_id, item_id) in
+        (select (user_id, item_id) from htest))""",
+        "hrecs",
+        "htest",
+        extra=HOLD,
+    ),
+)
 def n7(spark, d):
     # BM25 lists are the candidates; twice as many misses as hits are drawn.
     train, test, recs = _holdout(spark, d)
