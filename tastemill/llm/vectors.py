@@ -16,10 +16,10 @@ from tastemill.session import stored
 
 #: Subspaces, leading coordinates of each that make its grid, width of a grid cell in radii.
 BLOCKS, GRID, CELL = 4, 2, 4.0
-#: Rows of one part of a grid cell, and rows compared with a part at once.
-PART, TILE = 8192, 512
-#: Squared distances nearer to the budget than this are worked out anew, in one fixed order.
-CLOSE = 1e-9
+#: Rows of one part of a grid cell, rows compared with a part at once, pairs measured at once.
+PART, TILE, PAIRS = 16384, 512, 1 << 14
+#: What single precision may be off by.
+SLACK = 1e-5
 
 
 def unit_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -103,61 +103,63 @@ def _places(batches, least: float):
                         )
 
 
-def _within(x: np.ndarray, y: np.ndarray, budget: float) -> np.ndarray:
-    """Which rows of x and y lie within a squared distance; the same answer for x, y as for y, x."""
-    far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-    hit = far <= budget
-    for i, j in np.argwhere(np.abs(far - budget) < CLOSE):
-        hit[i, j] = ((x[i] - y[j]) ** 2).sum() <= budget
-    return hit
-
-
-def _labels(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Group numbers of the rows and columns of a link matrix: the first row of the group (n: no link)."""
-    n = len(link)
-    rows = np.where(link.any(axis=1), np.arange(n), n)
+def _labels(i: np.ndarray, j: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group numbers of the rows and columns that links (i, j) connect: the first row of the group."""
+    own = np.arange(rows)
     while True:
-        columns = np.where(link, rows[:, None], n).min(axis=0, initial=n)
-        new = np.minimum(rows, np.where(link, columns[None, :], n).min(axis=1, initial=n))
-        if (new == rows).all():
-            return rows, columns
-        rows = new
+        other = np.full(columns, rows)
+        np.minimum.at(other, j, own[i])
+        new = own.copy()
+        np.minimum.at(new, i, other[j])
+        if (new == own).all():
+            return own, other
+        own = new
 
 
 def _compare(group: pa.Table, least: float):
-    """(a, b, n): links counted for each home vector (b null), and enough links to connect each group."""
+    """(a, b, n): links counted for each home vector (b null), and enough links to connect each group.
+
+    A matrix product in single precision gives the subspace's distances with some slack; the few pairs that it
+    leaves are measured in doubles, in one fixed order, so both tasks that see a pair agree.
+    """
     size, block = group["size"][0].as_py(), group["block"][0].as_py()
     home = group["home"].to_numpy(zero_copy_only=False)
     units = np.frombuffer(b"".join(group["unit"].to_pylist()), "<f8").reshape(-1, size)
     turned = units @ rotation(size).T
     keys, copies = group["key"].to_numpy(), group["copies"].to_numpy()
     edges, budget = bounds(size), _budget(size, least)
+    own = turned[:, edges[block] : edges[block + 1]]
+    half, one = -0.5 * (own * own).sum(axis=1, keepdims=True), np.ones((len(own), 1))
+    # The product of these two is minus half the squared distance.
+    first = np.hstack([own, half, one]).astype(np.float32)
+    second = np.hstack([own, one, half]).astype(np.float32)
     left, right = np.flatnonzero(home), np.flatnonzero(~home)
     for start in range(0, len(left), TILE):
         rows = left[start : start + TILE]
-        for first in range(0, len(right), 4 * TILE):
-            columns = right[first : first + 4 * TILE]
-
-            def within(b, rows=rows, columns=columns):
-                return _within(turned[rows, edges[b] : edges[b + 1]], turned[columns, edges[b] : edges[b + 1]], budget)
-
-            hit = within(block)
-            # A pair counts in the first subspace that finds it, so in one task only.
-            for b in range(block):
-                if hit.any():
-                    hit &= ~within(b)
-            if not hit.any():
-                continue
-            link = hit & (units[rows] @ units[columns].T >= least) & (keys[rows][:, None] != keys[columns][None, :])
-            if not link.any():
+        for at in range(0, len(right), 4 * TILE):
+            columns = right[at : at + 4 * TILE]
+            near = np.flatnonzero((first[rows] @ second[columns].T).ravel() >= -0.5 * budget - SLACK)
+            found = []
+            for k in range(0, len(near), PAIRS):
+                i, j = np.divmod(near[k : k + PAIRS], len(columns))
+                x, y = rows[i], columns[j]
+                far = np.add.reduceat((turned[x] - turned[y]) ** 2, edges[:-1], axis=1)
+                # A pair counts in the first subspace that finds it, so in one task only.
+                ok = (far[:, block] <= budget) & (far[:, :block] > budget).all(axis=1) & (keys[x] != keys[y])
+                i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+                ok = (units[x] * units[y]).sum(axis=1) >= least
+                found.append((i[ok], j[ok]))
+            if not any(len(i) for i, _ in found):
                 continue
-            linked = np.flatnonzero(link.any(axis=1))
-            yield keys[rows[linked]], np.full(len(linked), None), link[linked] @ copies[columns]
-            own, other = _labels(link)
-            n = len(rows)
-            for nodes, label in ((rows, own), (columns, other)):
-                at = label < n
-                yield keys[nodes[at]], keys[rows[label[at]]], np.zeros(at.sum(), np.int64)
+            i, j = (np.concatenate(f) for f in zip(*found))
+            counts = np.zeros(len(rows), np.int64)
+            np.add.at(counts, i, copies[columns[j]])
+            linked = np.flatnonzero(counts)
+            yield keys[rows[linked]], np.full(len(linked), None), counts[linked]
+            for nodes, label in zip((rows, columns), _labels(i, j, len(rows), len(columns))):
+                met = np.flatnonzero(label < len(rows))
+                met = met[keys[nodes[met]] != keys[rows[label[met]]]]
+                yield keys[nodes[met]], keys[rows[label[met]]], np.zeros(len(met), np.int64)
 
 
 def _grouped(batches, columns: list[str]):
