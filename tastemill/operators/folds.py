@@ -200,7 +200,7 @@ def fold_stats(
         .groupBy(FOLD)
         .agg(F.sum("_n").alias("train"))
     )
-    flags = flag_test(df, folds, train_min_date, date)
+    flags = stored(flag_test(df, folds, train_min_date, date))
     new_user = F.col("cold_user")
     new_item = ~F.col("cold_user") & F.col("cold_item")
     warm = ~F.col("cold_user") & ~F.col("cold_item")
@@ -223,7 +223,8 @@ def fold_stats(
         "test",
     ]
     if labels:
-        train, test = split(df, folds, train_min_date, date=date)
+        train = assign_train(df, folds, train_min_date, date)
+        test = flags.filter(warm & ~F.col("seen")).drop("cold_user", "cold_item", "seen")
         stats = stored(user_stats(train, by=[FOLD]))
         for part, rows in (("train", train), ("test", test)):
             marked = label(rows, stats, rule=rule, by=[FOLD])

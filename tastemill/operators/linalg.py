@@ -1,8 +1,8 @@
 """Principal components, singular values and explicit ALS of a tall vector table.
 
-The table has many rows and few columns: whoever calls this decides that a d x d matrix fits on the driver. One pass over it gives the d x d Gram or scatter matrix
-as partial sums of its partitions; the eigenproblem of that small matrix runs on the driver, and a
-second pass maps the rows.
+The table has many rows and few columns: whoever calls this decides that a d x d matrix fits on
+the driver. One pass over it gives the d x d Gram or scatter matrix as partial sums of its
+partitions; the eigenproblem of that small matrix runs on the driver, and a second pass maps the rows.
 """
 
 from __future__ import annotations

@@ -38,7 +38,12 @@ def item_similarity(
         aggs["_dot"] = F.sum(vi * vj)
     elif measure != "jaccard":
         raise ValueError(f"unknown measure {measure!r}")
-    pairs = group_pairs(rows, [USER], ITEM, ["v"], aggs)
+    paired = rows
+    if not keep_weak and min_support > 1:
+        # An item with fewer raters than that has no pair with enough of them.
+        rated = rows.groupBy(ITEM).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_support)
+        paired = rows.join(rated.select(ITEM), ITEM, "left_semi")
+    pairs = group_pairs(paired, [USER], ITEM, ["v"], aggs)
     if not keep_weak and min_support > 0:
         pairs = pairs.filter(F.col("support") >= min_support)
 

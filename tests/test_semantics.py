@@ -259,7 +259,7 @@ def test_pairs_without_one_row_per_side_fail(spark):
 
 
 def test_no_fold_in_the_range_is_an_error(spark):
-    df = spark.createDataFrame([(1, 1, 50, dt.date(2020, 1, d)) for d in range(1, 20)], "user_id bigint, item_id bigint, progress int, start_date date")
+    df = rows(spark, [(1, 1, 50, None, day(d)) for d in range(1, 20)])
     with pytest.raises(ValueError, match="no fold"):
         folds.make_folds(df, 1, 7, start=dt.date(2050, 1, 1))
 
@@ -279,7 +279,8 @@ def test_embedding_layers_are_exact(spark):
                "b_hid": rng.normal(size=5), "w_out": rng.normal(size=(5, 2))}
     df = spark.createDataFrame([(1, [0.5, -1.0, 2.0, 0.0], [1.0, -2.0])], "item_id bigint, vec array<double>, features array<double>")
     found = vectors.embed(df, weights).first().vec
-    hidden = np.concatenate([[0.5, -1.0, 2.0, 0.0], np.array([1.0, -2.0]) @ weights["w_feat"] + weights["b_feat"]]) @ weights["w_hid"] + weights["b_hid"]
+    first = np.array([1.0, -2.0]) @ weights["w_feat"] + weights["b_feat"]
+    hidden = np.concatenate([[0.5, -1.0, 2.0, 0.0], first]) @ weights["w_hid"] + weights["b_hid"]
     gelu = [0.5 * h * (1 + math.erf(h / math.sqrt(2))) for h in hidden]
     assert np.allclose(found, np.array(gelu) @ weights["w_out"], atol=1e-6)
 
