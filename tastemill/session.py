@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,13 @@ def build_session(master: str | None = None, app: str = "tastemill", **conf: str
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere the settings that the plans here rely on."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names; fall back to a fresh one only on a local master."""
     context = spark.sparkContext
@@ -47,13 +56,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the `temporary` blocks that are open, the innermost last.
+_open: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, so every executor can reach it."""
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir().rstrip("/")
+    base = _open[-1] if _open else spark.sparkContext.getCheckpointDir().rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What `stored` writes inside this block goes when it ends: write or collect results before."""
+    base = scratch_folder(spark, "job")
+    _open.append(base)
+    try:
+        yield
+    finally:
+        _open.remove(base)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 

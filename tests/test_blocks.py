@@ -132,3 +132,15 @@ def test_no_single_partition_window_on_rows(skewed):
     top = blocks.top_per_group(df, ["user_id"], [F.asc("item_id")], 3)
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "WindowGroupLimit" in plan
+
+
+def test_temporary_frames_are_removed(spark):
+    from pathlib import Path
+
+    from tastemill.session import stored, temporary
+
+    with temporary(spark):
+        kept = stored(spark.range(5))
+        files = [Path(f.removeprefix("file:")) for f in kept.inputFiles()]
+        assert files and all(f.exists() for f in files)
+    assert not any(f.exists() for f in files)
