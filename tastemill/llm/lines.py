@@ -31,9 +31,10 @@ def lines_of(html: Column) -> Column:
     """Lines of a page's text in order: block tags end lines, blanks are squeezed, empty lines go. Null gives none."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n")
     text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0D]+", " "), r"[\x20]?[\x0A][\x0A\x20]*", "\n")
-    text = F.trim(F.regexp_replace(text, r"^[\x0A\x20]+|[\x0A\x20]+$", ""))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+    # Single blanks, which are nearly all of them, match nothing here.
+    text = F.regexp_replace(text, r"[\x20\x09\x0D]{2,}|[\x09\x0D]", " ")
+    text = F.btrim(F.regexp_replace(text, r"[\x20]?[\x0A][\x0A\x20]*", "\n"), F.lit("\n "))
+    return F.filter(F.split(text, "\n"), lambda x: x != "")
 
 
 def line_dedup(
