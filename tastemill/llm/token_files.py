@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ _tokenizers: dict[str, tuple] = {}
 def tokenizer(path: str):
     """(tokenizer, caches of words after a blank, caches of words at the start of a line) of this Python process."""
     if path not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
@@ -38,9 +40,7 @@ def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before:
         caches[:] = [{}, caches[0]]
     cache, old = caches
     plain, marked = set(), []
-    for word in words:
-        if word in cache:
-            continue
+    for word in words.difference(cache):
         if word in old:
             cache[word] = old[word]
         elif word.split() != [word]:
@@ -49,23 +49,24 @@ def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before:
             # After a letter, one full stop or comma is a pre-token of its own.
             marked.append(word)
             stem = word[:-1]
-            if stem not in cache:
-                if stem in old:
-                    cache[stem] = old[stem]
-                else:
-                    plain.add(stem)
+            if stem in old:
+                cache[stem] = old[stem]
+            elif stem not in cache:
+                plain.add(stem)
         else:
             plain.add(word)
     plain = list(plain)
     feed, *marks = (made.encode(c, add_special_tokens=False).ids for c in "\n.,")
-    for at in range(0, len(plain), 1024):
-        part = plain[at : at + 1024]
-        # A line feed between two words is always one token of its own.
-        ids = np.array(made.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids, "<u4")
-        ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
-        raw = ids.tobytes()
-        for word, start, end in zip(part, [0, *(e + 1 for e in ends)], ends):
-            cache[word] = raw[4 * start : 4 * end]
+    for at in range(0, len(plain), 1 << 14):
+        parts = [plain[k : k + 128] for k in range(at, min(len(plain), at + (1 << 14)), 128)]
+        joined = ["\n".join([before + w for w in part]) for part in parts]
+        for part, found in zip(parts, made.encode_batch_fast(joined, add_special_tokens=False)):
+            # A line feed between two words is always one token of its own.
+            ids = np.array(found.ids, "<u4")
+            ends = [*np.flatnonzero(ids == feed[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for word, start, end in zip(part, [0, *(e + 1 for e in ends)], ends):
+                cache[word] = raw[4 * start : 4 * end]
     tails = {c: np.array(m, "<u4").tobytes() for c, m in zip(".,", marks)}
     for word in marked:
         cache[word] = cache[word[:-1]] + tails[word[-1]]
