@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from tastemill.session import scratch_folder, stored
 
 #: Words of one generation of a Python worker's cache. When it is full, it becomes the old one, from which words that
 #: are still in use move on.
-CACHE = 250_000
+CACHE = 350_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -39,16 +40,17 @@ def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before:
     if len(caches[0]) > CACHE:
         caches[:] = [{}, caches[0]]
     cache, old = caches
-    plain, marked = set(), []
+    plain, marked, tails = set(), [], {}
     for word in words.difference(cache):
         if word in old:
             cache[word] = old[word]
         elif word.split() != [word]:
             cache[word] = None
-        elif word[-1] in ".," and word[-2:-1].isalpha():
-            # After a letter, one full stop or comma is a pre-token of its own.
-            marked.append(word)
-            stem = word[:-1]
+        elif word[-1] in punctuation and word.rstrip(punctuation)[-1:].isalpha():
+            # After a letter, punctuation is a pre-token of its own.
+            stem = word.rstrip(punctuation)
+            marked.append((word, stem))
+            tails[word[len(stem) :]] = b""
             if stem in old:
                 cache[stem] = old[stem]
             elif stem not in cache:
@@ -56,7 +58,7 @@ def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before:
         else:
             plain.add(word)
     plain = list(plain)
-    feed, *marks = (made.encode(c, add_special_tokens=False).ids for c in "\n.,")
+    feed = made.encode("\n", add_special_tokens=False).ids
     for at in range(0, len(plain), 1 << 14):
         parts = [plain[k : k + 128] for k in range(at, min(len(plain), at + (1 << 14)), 128)]
         joined = ["\n".join([before + w for w in part]) for part in parts]
@@ -67,9 +69,10 @@ def _learn(made, caches: list[dict[str, bytes | None]], words: set[str], before:
             raw = ids.tobytes()
             for word, start, end in zip(part, [0, *(e + 1 for e in ends)], ends):
                 cache[word] = raw[4 * start : 4 * end]
-    tails = {c: np.array(m, "<u4").tobytes() for c, m in zip(".,", marks)}
-    for word in marked:
-        cache[word] = cache[word[:-1]] + tails[word[-1]]
+    for tail in tails:
+        tails[tail] = np.array(made.encode(tail, add_special_tokens=False).ids, "<u4").tobytes()
+    for word, stem in marked:
+        cache[word] = cache[stem] + tails[word[len(stem) :]]
     return cache
 
 
