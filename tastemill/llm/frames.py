@@ -30,6 +30,11 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\0null")))
 
 
+def in_share(id: str, share: Column) -> Column:
+    """Whether the hash of an id falls into the share (0 to 1) of all hashes; a share above 0 is rounded up, never to 0."""
+    return F.pmod(F.xxhash64(id), F.lit(1 << 40)) < F.ceil(share * float(1 << 40))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches so that each part holds a bounded amount of text; null texts come as b""."""
     for batch in batches:

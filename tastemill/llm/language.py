@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm.frames import map_text
+from tastemill.llm.frames import in_share, map_text, small
 from tastemill.llm.ngrams import chunks, join, spread
+from tastemill.session import stored
 
-#: Labelled rows that a model is fitted on (chosen by a hash of the id), and bits of an n-gram bucket.
+#: Labelled rows that a model is fitted on (chosen by a hash of the id), those of a rare language at least, and bits of
+#: an n-gram bucket.
 SAMPLE = 20_000
+FEW = 500
 BITS = 13
 #: How sharply margins become scores, and the lead under which a row is flagged as ambiguous.
 SHARPNESS = 3.0
@@ -116,13 +119,15 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fit on about `sample` rows with a language, chosen by a hash of the id (all rows if there are fewer).
 
-    Each row counts alike whatever its length. Tasks send one row per language and n-gram bucket, so what reaches the
+    A language whose part of the sample is under FEW rows gives about FEW, or all that it has. Each row counts alike whatever its length. Tasks send one row per language and n-gram bucket, so what reaches the
     driver is bounded by languages x buckets.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.count()
-    share = min(1.0, sample / n) if n else 1.0
-    chosen = known.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id).alias("id"))
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("n")))
+    n = sizes.agg(F.sum("n")).first()[0] or 1
+    share = F.least(F.lit(1.0), F.greatest(F.lit(sample / n), F.lit(float(FEW)) / F.col("n")))
+    chosen = known.join(small(sizes.select("lang", share.alias("share"))), "lang").filter(in_share("id", F.col("share")))
 
     def count(batches):
         for batch in batches:
@@ -139,8 +144,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
                         names=["lang", "bucket", "share"],
                     )
 
-    source = chosen.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    shares = source.mapInArrow(count, "lang string, bucket bigint, share double")
+    shares = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket bigint, share double")
     # Sums of doubles depend on their order: whole numbers of 2^-40 do not.
     grid = F.round(F.col("share") * 2.0**40).cast("decimal(38,0)")
     rows = shares.groupBy("lang", "bucket").agg((F.sum(grid).cast("double") / 2.0**40).alias("share")).toPandas()

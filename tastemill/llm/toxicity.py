@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm.frames import map_text
+from tastemill.llm.frames import in_share, map_text
 from tastemill.llm.ngrams import chunks, join, subwords
 
 #: Labelled rows that the model is fitted on (chosen by a hash of the id); every fifth of them only calibrates.
@@ -128,7 +128,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", id: str =
     known = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull() & F.col(id).isNotNull())
     n = known.count()
     share = min(1.0, sample / n) if n else 1.0
-    chosen = known.filter(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.filter(in_share(id, F.lit(share)))
 
     def work(_, raw):
         return {"at": pa.array([bag(t).tobytes() for t in raw], pa.binary())}
