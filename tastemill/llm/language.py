@@ -177,3 +177,9 @@ def identify(
 
     schema = f"{prefix}lang_pred string, {prefix}score double, {prefix}ambiguous boolean"
     return map_text(df, text, keep or df.columns, schema, work)
+
+
+def lettered(df: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """All columns, and under `name` whether the text has a letter (false for a null text)."""
+    work = lambda _, raw: {name: pa.array([has_letter(t) for t in raw], pa.bool_())}
+    return map_text(df, text, df.columns, f"{name} boolean", work)
