@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tastemill.llm import (
+    alignment,
     chunks,
     decontaminate,
     language,
     lines,
     mixing,
+    quality,
     simhash,
+    spelling,
     suffixes,
     token_files,
     toxicity,
@@ -184,6 +187,67 @@ def op10_vector_groups(spark, folder):
     return groups.withColumnRenamed("id", "vec_id")
 
 
+def op11_quality(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
+    labels = table(spark, folder, "labels").filter("quality is not null").select("doc_id", "quality")
+    model = quality.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return quality.score(docs, model, keep=["doc_id", "held_out"])
+
+
+def op12_alignment(spark, folder):
+    found = alignment.align_tokenizers(
+        table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN,
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_spelling(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+counted AS (SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY d, run),
+steps AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+spelled AS (SELECT run, n, hex(encode(d || ':' || run)) AS x, octet_length(encode(d || ':' || run)) AS long FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(1, long + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS h
+  FROM spelled, steps),
+lost AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM lost WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (
+  SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b
+  FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+firsts AS (
+  SELECT p.word, min(encode(near)) AS near FROM pairs p JOIN best b ON p.word = b.word AND p.near_n = b.top GROUP BY p.word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * w.n THEN decode(f.near) END AS form,
+    CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN firsts f ON w.word = f.word),
+chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -195,5 +259,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_vector_groups": op10_vector_groups,
+    "op11_quality": op11_quality,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op4_mix": OP4_SQL, "op6_decontaminate": OP6_SQL, "op13_spelling": OP13_SQL}
