@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm import decontaminate, language, mixing, shingles, token_files
+from tastemill.llm import decontaminate, language, mixing, simhash, token_files
 from tastemill.llm.frames import table, text_key
 from tastemill.session import stored
 
@@ -42,9 +42,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (the smallest doc_id), and one row of those alike in id and text.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard), or are linked by texts that do.
+    Near copies have SimHash fingerprints of three-word shingles that differ in at most three bits, or are linked by such.
     """
-    groups = shingles.shingle_groups(docs)
+    groups = simhash.simhash_groups(docs, width=3, radius=3)
     kept = _with_key(docs).join(_marked(groups.filter("first")), _same_row(), "left_semi")
     once = F.row_number().over(Window.partitionBy("doc_id", KEY).orderBy("doc_id"))
     return kept.withColumn(ROW, once).filter(F.col(ROW) == 1).select(*docs.columns)
