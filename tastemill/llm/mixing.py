@@ -72,8 +72,8 @@ def mix(
     summed by the next digits. The last bucket is taken if that brings the sum nearer. A larger target keeps all
     that a smaller one took. No rows are sorted, and joins run on (source, bucket), so a large source is spread out.
 
-    A null size counts as 0; a null source is a source of its own; rows with the same id share a hash. Nothing to
-    take (all sizes 0, or no rows) gives 0 copies.
+    A null size counts as 0; a null source is a source of its own; rows with the same id share a hash. A row of size 0 is
+    taken as often as its source as a whole, never once more. Nothing to take (all sizes 0, or no rows) gives 0 copies.
     """
     digest = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("\0null")))
     keyed = docs.withColumn("mix_hash", digest)
@@ -128,11 +128,12 @@ def mix(
         F.col("size").alias("mix_source_size"),
         F.col("target").alias("mix_target"),
         F.col("whole").alias("mix_whole"),
-        F.col("below").alias("mix_below"),
+        # Nothing is left over where the target is a whole number of times the size.
+        F.when(F.col("rest") > 0, F.col("below")).alias("mix_below"),
     )
     spread = stored(first.select("mix_key", F.col("bucket").alias("mix_bucket")).join(limits, "mix_key"))
     keyed = keyed.withColumn("mix_bucket", F.substring("mix_hash", 1, DIGITS))
-    once = F.coalesce((F.col("mix_hash") < F.col("mix_below")).cast("bigint"), F.lit(0))
+    once = F.coalesce(((F.col("mix_hash") < F.col("mix_below")) & (F.col("mix_size") > 0)).cast("bigint"), F.lit(0))
     found = keyed.join(spread, ["mix_key", "mix_bucket"])
     return found.select(
         *docs.columns, "mix_source_size", "mix_target", (F.col("mix_whole") + once).alias("mix_copies")
