@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from string import punctuation
@@ -24,14 +25,14 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str):
-    """(tokenizer, caches of words after a blank, caches of words at the start of a line) of this Python process."""
+    """(tokenizer, caches of words after a blank, caches of words at the start of a line, added tokens) of this process."""
     if path not in _tokenizers:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[path] = (made, [{}, {}], [{}, {}])
+        added = re.compile("|".join(re.escape(t.content) for t in made.get_added_tokens_decoder().values()) or r"(?!)").search
+        _tokenizers[path] = (made, [{}, {}], [{}, {}], added)
     return _tokenizers[path]
 
 
@@ -81,10 +82,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     In byte-level BPE a pre-token is white space, or one blank at most and what follows it. So a single blank starts
     a pre-token, a single line feed is one, and the words between can be encoded on their own. A text with any other
-    white space, or with some at its ends, is encoded in one piece.
+    white space, or with some at its ends, or with the string of an added token, is encoded in one piece.
     """
-    made, later, starts = tokenizer(path)
-    lines = [[line.split(" ") for line in t.split("\n")] for t in texts]
+    made, later, starts, added = tokenizer(path)
+    lines = [[[""]] if added(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
     inner = _learn(made, later, set().union(*(ws[1:] for ls in lines for ws in ls)), " ")
     first = _learn(made, starts, {ws[0] for ls in lines for ws in ls}, "")
     feed = np.array(made.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
