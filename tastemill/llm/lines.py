@@ -12,13 +12,14 @@ from tastemill.session import stored
 RATIO, LEAST_PAGES = 0.3, 3
 SALTS = 16
 
-#: Patterns that turn markup into lines.
-HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</(script|style)>"
+#: Patterns that turn markup into lines. Each opening reads on to its end or, if it has none, to the end of
+#: the page (comments, scripts, styles) or to the next "<" (tags, which then are no tags): no part of a page is read twice.
+HIDDEN = r"(?is)<!--(?:.*?-->|.*)|<(script|style)\b[^<>]*>(?:.*?</(script|style)>|.*)"
 BLOCK = (
     r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|nav|article|section|header|footer|title|head|body|html|pre"
-    r"|blockquote|main|aside)\b[^>]*>"
+    r"|blockquote|main|aside)\b[^<>]*>"
 )
-TAG = r"<[^>]*>"
+TAG = r"<[^<>]*>"
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*@)?([^/?#:]*)"
 
 
@@ -45,7 +46,7 @@ def line_dedup(
 
     A line goes from all pages of a host if more than `ratio` of the host's pages hold it, and `least` pages at least
     (so a host of one page keeps its text). A page counts a line once. Pages without a host keep all lines; pages
-    without text have none. Rows that are alike in all three columns are pages of their own in the counts.
+    without text have none. A comment, script or style that is not closed hides the rest of its page. Rows that are alike in all three columns are pages of their own in the counts.
 
     Lines are counted as hashes by (host, line), which spreads a large host; only the few keys above the
     ratio meet the pages again, salted unless they are counted to be few.
@@ -59,13 +60,15 @@ def line_dedup(
     totals = split.filter("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
     seen = split.select("host", F.explode(F.array_distinct("marks")).alias("mark"))
     counts = stored(seen.groupBy("host", "mark").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
-    boiler = counts.join(totals, "host").filter(F.col("n") > ratio * F.col("pages")).select("mark")
-    boiler = stored(boiler.distinct())
+    # A large host's lines are dealt over several tasks.
+    salt = F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))).alias("salt")
+    dealt = counts.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)))
+    boiler = dealt.join(totals.select("host", "pages", salt), ["host", "salt"])
+    boiler = stored(boiler.filter(F.col("n") > ratio * F.col("pages")).select("mark").distinct())
     held = split.select("page", F.explode(F.array_distinct("marks")).alias("mark"))
     if boiler.count() <= BROADCAST_ROWS:
         held = held.join(F.broadcast(boiler), "mark")
     else:
-        salt = F.explode(F.array(*(F.lit(i).cast("bigint") for i in range(SALTS)))).alias("salt")
         held = held.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)))
         held = held.join(boiler.select("mark", salt), ["mark", "salt"])
     gone = held.groupBy("page").agg(F.collect_set("mark").alias("gone"))
