@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tastemill.functions.expressions import quantize
 from tastemill.operators.features import dense_ids
 from tastemill.operators.labels import select_pos
-from tastemill.operators.vectors import block_topk
+from tastemill.operators.search import topk
 from tastemill.schema import ITEM, RANK, USER
 from tastemill.session import ensure_checkpoint_dir, stored
 
@@ -81,7 +81,7 @@ def factors(fit: AlsFit, side: str, keys: DataFrame | None = None) -> DataFrame:
 def als_recommend(fit: AlsFit, users: DataFrame, seen: DataFrame | None, k: int = 10) -> DataFrame:
     """Top k items per user without the seen ones, which leave before the k best are taken."""
     items = factors(fit, "item").withColumn("bias", F.lit(0.0))
-    return block_topk(factors(fit, "user", users), items, k, seen)
+    return topk(factors(fit, "user", users), items, k, seen)
 
 
 def als_similar_items(fit: AlsFit, items: DataFrame, n: int = 10) -> DataFrame:
@@ -91,5 +91,5 @@ def als_similar_items(fit: AlsFit, items: DataFrame, n: int = 10) -> DataFrame:
     unit = stored(unit.select(ITEM, F.transform("vec", lambda x: x.cast("double") / F.col("_norm")).alias("vec")))
     given = unit.join(items.select(ITEM).distinct(), ITEM, "left_semi").withColumnRenamed(ITEM, USER)
     itself = given.select(USER, F.col(USER).alias(ITEM))
-    found = block_topk(given, unit.withColumn("bias", F.lit(0.0)), n, itself)
+    found = topk(given, unit.withColumn("bias", F.lit(0.0)), n, itself)
     return found.select(F.col(USER).alias(ITEM), F.col(ITEM).alias("similar_item_id"), "score", RANK)

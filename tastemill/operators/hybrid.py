@@ -16,7 +16,7 @@ from tastemill.functions.expressions import quantize
 from tastemill.operators.als import AlsFit, als_fit
 from tastemill.operators.als import factors as als_factors
 from tastemill.operators.features import feature_lists
-from tastemill.operators.vectors import block_topk
+from tastemill.operators.search import topk
 from tastemill.schema import ITEM, TARGET, USER
 from tastemill.session import stored
 
@@ -119,4 +119,4 @@ def hybrid_recommend(
     """Score all items for the given users, leave the seen ones out, rank the k best."""
     left = side_vectors(fit, "user", users).select(USER, "vec")
     right = side_vectors(fit, "item", items)
-    return block_topk(left, right, k, seen)
+    return topk(left, right, k, seen)

@@ -26,6 +26,28 @@ def block_count(df: DataFrame, block: int = BLOCK) -> int:
     return max(1, -(-df.count() // block))
 
 
+def tile_scores(users, x, items, y, bias, seen_users, seen_items, k: int, metric: str) -> pd.DataFrame:
+    """(user_id, item_id, score): the k best of a tile for each user but the seen pairs; scores lie on a grid."""
+    # Ascending ids make the stable sort break ties by id, and let pairs be looked up.
+    rows, columns = np.argsort(users), np.argsort(items)
+    users, items, x, y = users[rows], items[columns], x[rows], y[columns]
+    if metric == "l2":
+        far = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
+        scores = -np.floor(np.sqrt(np.maximum(far, 0.0)) * 1e6 + 0.5) / 1e6
+    else:
+        scores = np.floor((x @ y.T + bias[columns][None, :]) * 1e9 + 0.5) / 1e9
+    if seen_users is not None and len(users):
+        r, c = np.searchsorted(users, seen_users), np.searchsorted(items, seen_items)
+        r, c = np.minimum(r, len(users) - 1), np.minimum(c, len(items) - 1)
+        hit = (users[r] == seen_users) & (items[c] == seen_items)
+        scores[r[hit], c[hit]] = -np.inf
+    take = min(k, len(items))
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+    top = np.take_along_axis(scores, best, axis=1)
+    out = pd.DataFrame({USER: users.repeat(take), ITEM: items[best].reshape(-1), "score": top.reshape(-1)})
+    return out[np.isfinite(out["score"])]
+
+
 def block_topk(
     left: DataFrame,
     right: DataFrame,
@@ -66,43 +88,14 @@ def block_topk(
     def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for users, x, items, y, bias, seen_users, seen_items in batch.itertuples(index=False):
-                # Ascending ids make the stable sort break ties by id, and let pairs be looked up.
-                rows, columns = np.argsort(users), np.argsort(items)
-                users, items = users[rows], items[columns]
-                x = x.reshape(len(users), -1)[rows]
-                y = y.reshape(len(items), -1)[columns]
-                if metric == "l2":
-                    far = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-                    scores = -np.floor(np.sqrt(np.maximum(far, 0.0)) * 1e6 + 0.5) / 1e6
-                else:
-                    scores = np.floor((x @ y.T + bias[columns][None, :]) * 1e9 + 0.5) / 1e9
-                if seen_users is not None:
-                    r, c = np.searchsorted(users, seen_users), np.searchsorted(items, seen_items)
-                    r, c = np.minimum(r, len(users) - 1), np.minimum(c, len(items) - 1)
-                    hit = (users[r] == seen_users) & (items[c] == seen_items)
-                    scores[r[hit], c[hit]] = -np.inf
-                take = min(k, len(items))
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-                top = np.take_along_axis(scores, best, axis=1)
-                out = pd.DataFrame(
-                    {USER: users.repeat(take), ITEM: items[best].reshape(-1), "score": top.reshape(-1)}
-                )
-                yield out[np.isfinite(out["score"])]
+                x, y = x.reshape(len(users), -1), y.reshape(len(items), -1)
+                yield tile_scores(users, x, items, y, bias, seen_users, seen_items, k, metric)
 
     scored = work.mapInPandas(score_blocks, f"{USER} bigint, {ITEM} bigint, score double")
     best = top_per_group(scored, [USER], [F.desc("score"), F.asc(ITEM)], k)
     return best.withColumn("score", -F.col("score")) if metric == "l2" else best
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """The n vectors nearest to each query by Euclidean distance.
-
-    `queries` is (user_id, vec), `vectors` (item_id, vec).
-    """
-    found = block_topk(queries, vectors.withColumn("bias", F.lit(0.0)), n, metric="l2")
-    return found.select(USER, ITEM, F.col("score").alias("distance"), RANK)
-
-
 def distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Distance of every query to every vector. The queries are packed into blocks of at most
     about BLOCK rows and each vector meets a block once; the output has queries x vectors rows."""

@@ -21,6 +21,7 @@ from tastemill.operators import (
     metrics,
     popular,
     ranking,
+    search,
     similarity,
     vectors,
 )
@@ -279,6 +280,62 @@ def r9(spark, d):
     return als.als_recommend(als.als_fit(df, seed=7), df, df, 10)
 
 
+#: Whole numbers in place of fitted factors: scores are exact, and an item's length grows with its interactions.
+_USER_STEPS, _ITEM_STEPS = (3, 5, 7, 11, 13, 17), (19, 23, 29, 31, 37, 41)
+
+
+def _fixed_factors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    left = F.array(*(((F.col(USER) * p) % 19 - 4).cast("double") for p in _USER_STEPS))
+    grown = F.col("_n") * F.col("_n") * F.col("_n")
+    right = F.array(*((((F.col(ITEM) * q) % 17 - 3) * grown).cast("double") for q in _ITEM_STEPS))
+    counts = df.groupBy(ITEM).agg(F.count("*").alias("_n"))
+    return (
+        df.select(USER).distinct().select(USER, left.alias("vec")),
+        counts.select(ITEM, right.alias("vec"), F.lit(0.0).alias("bias")),
+    )
+
+
+_FIXED_CTES = {
+    "grown": ("select item_id, count(*)::bigint as n from clean group by item_id", ("clean",)),
+    "scores": (
+        f"""select u.user_id, g.item_id, ({' + '.join(
+            f"((u.user_id * {p}) % 19 - 4) * ((g.item_id * {q}) % 17 - 3)" for p, q in zip(_USER_STEPS, _ITEM_STEPS)
+        )})::double * (n * n * n) as score from (select distinct user_id from clean) u, grown g""",
+        ("clean", "grown"),
+    ),
+}
+
+
+@query(
+    "r9_fixed_factors",
+    sql(
+        """select user_id, item_id, score, row_number() over (partition by user_id order by score desc, item_id) as rank
+        from scores s where not exists (select 1 from clean c where c.user_id = s.user_id and c.item_id = s.item_id)
+        qualify rank <= 10""",
+        "scores",
+        "clean",
+        extra=_FIXED_CTES,
+    ),
+)
+def r9_fixed(spark, d):
+    df = stored(I.clean_interactions(spark, d))
+    return search.bounded_search(*_fixed_factors(df), 10, df, block=64).found
+
+
+@query(
+    "r9_search_work",
+    sql(
+        """select count(distinct user_id) as users, count(distinct item_id) as items,
+        count(distinct user_id) * count(distinct item_id) as cells, true as spared_half from clean""",
+        "clean",
+    ),
+)
+def r9_work(spark, d):
+    df = stored(I.clean_interactions(spark, d))
+    work = search.bounded_search(*_fixed_factors(df), 10, df, block=64).work
+    return work.select("users", "items", "cells", (2 * F.col("scored") < F.col("cells")).alias("spared_half"))
+
+
 @query(
     "r10_fill_short",
     sql(
@@ -1312,7 +1369,7 @@ def x5(spark, d):
     ),
 )
 def x6(spark, d):
-    return vectors.nearest(I.centroids(spark, d), I.vectors(spark, d), 10)
+    return search.nearest(I.centroids(spark, d), I.vectors(spark, d), 10)
 
 
 @query(
