@@ -99,8 +99,11 @@ def statistics(text: bytes) -> np.ndarray:
     ])
 
 
-def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` and `stats`, the statistics of each text (null: empty)."""
+def describe(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all by default) and `stats`, the statistics of each text (null: empty); stored.
+
+    The one pass over the texts: fitting and scoring read the statistics. A column of `df` named stats is replaced.
+    """
     empty = statistics(b"")
 
     def work(_, raw):
@@ -108,7 +111,7 @@ def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         at = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * len(NAMES))
         return {"stats": pa.ListArray.from_arrays(at, pa.array(flat))}
 
-    return map_text(df, text, keep, "stats array<double>", work)
+    return stored(map_text(df, text, keep or df.columns, "stats array<double>", work))
 
 
 # -- the model ----------------------------------------------------------------------------------------------------
@@ -259,17 +262,17 @@ def histograms(stats: DataFrame, models: list[Model]) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", id: str = "doc_id") -> Model:
-    """Fit on all labelled rows; the driver gets sums of a fixed size only.
+def fit(labelled: DataFrame, label: str = "quality", id: str = "doc_id") -> Model:
+    """Fit on all labelled rows of `describe`; the driver gets sums of a fixed size only.
 
-    Rows with a null id or a label other than 0 and 1 are left out; a null text is an empty one. One row in SPARE is
-    kept back: the shrinkage with the least loss on them and the slope of the score are chosen by their histograms. If a
-    class has no rows to learn from or none among the spare ones, the score is the smoothed share of label 1.
+    Rows with a null id or a label other than 0 and 1 are left out; a null text counts as an empty one. One row in
+    SPARE is kept back: the shrinkage with the least loss on them and the slope of the score are chosen by their
+    histograms. If a class has no rows to learn from or none among the spare ones, the score is the smoothed share of
+    label 1.
     """
     known = labelled.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull())
     spare = F.pmod(F.xxhash64(id, F.lit("spare")), F.lit(SPARE)) == 0
-    source = known.select(F.col(label).cast("bigint").alias("label"), spare.alias("spare"), F.col(text).alias("text"))
-    stats = stored(with_statistics(source, "text", ["label", "spare"]))
+    stats = stored(known.select(F.col(label).cast("bigint").alias("label"), spare.alias("spare"), "stats"))
     moments = class_moments(stats.filter("not spare"))
     rows = [m.n for m in moments]
     share = Model((rows[1] + 1) / (sum(rows) + 2))
@@ -286,16 +289,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", id: str
     return models[best]
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, at: float = 0.5) -> DataFrame:
-    """The columns `keep` (all by default) with score (0 to 1) and predicted (1 if score >= `at`); one row per row of `df`.
+def score(described: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
+    """The columns of `describe` but `stats`, with score (0 to 1) and predicted (1 if score >= `at`); one row per row.
 
     Null and empty texts have the statistics of an empty text and a score like any other. Rows alike in text score
-    alike. A column of `df` with the name of an output column is replaced. An empty table gives no rows.
+    alike. A column with the name of an output column is replaced. An empty table gives no rows.
     """
-    empty = statistics(b"")
+    keep = [c for c in described.columns if c not in ("stats", "score", "predicted")]
 
-    def work(_, raw):
-        found = model.predict(np.stack([statistics(t) if t else empty for t in raw]))
-        return {"score": pa.array(found, pa.float64()), "predicted": pa.array((found >= at).astype(np.int32))}
+    def run(batches):
+        for batch in batches:
+            found = model.predict(_rows(batch)) if batch.num_rows else np.zeros(0)
+            made = [pa.array(found, pa.float64()), pa.array((found >= at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], names=[*keep, "score", "predicted"])
 
-    return map_text(df, text, keep or df.columns, "score double, predicted int", work)
+    kinds = {f.name: f.dataType.simpleString() for f in described.select(*keep).schema.fields}
+    schema = ", ".join([*(f"`{k}` {v}" for k, v in kinds.items()), "score double", "predicted int"])
+    return described.select(*keep, "stats").mapInArrow(run, schema)

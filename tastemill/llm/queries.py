@@ -190,8 +190,9 @@ def op10_vector_groups(spark, folder):
 def op11_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", held_out(3, 1).alias("held_out"))
     labels = table(spark, folder, "labels").filter("quality is not null").select("doc_id", "quality")
-    model = quality.fit(docs.filter(~F.col("held_out")).join(labels, "doc_id"))
-    return quality.score(docs, model, keep=["doc_id", "held_out"])
+    described = quality.describe(docs, keep=["doc_id", "held_out"])
+    model = quality.fit(described.filter(~F.col("held_out")).join(labels, "doc_id"))
+    return quality.score(described, model)
 
 
 def op12_alignment(spark, folder):

@@ -32,10 +32,11 @@ def labelled(rng, n=400):
 def test_quality_of_rows_kept_back(spark):
     rows = list(labelled(random.Random(1)))
     schema = "doc_id bigint, text string, quality int"
-    model = quality.fit(spark.createDataFrame([r for r in rows if r[0] % 3], schema))
-    found = quality.score(spark.createDataFrame([r for r in rows if r[0] % 3 == 0], schema), model).collect()
+    learn, rest = (spark.createDataFrame([r for r in rows if bool(r[0] % 3) == x], schema) for x in (True, False))
+    model = quality.fit(quality.describe(learn))
+    found = quality.score(quality.describe(rest), model).collect()
     assert all(r.predicted == r.quality and 0 <= r.score <= 1 for r in found)
-    again = quality.fit(spark.createDataFrame([r for r in rows if r[0] % 3], schema).repartition(5))
+    again = quality.fit(quality.describe(learn.repartition(5)))
     assert np.allclose([r.score for r in found], again.predict(np.stack([quality.statistics(r.text.encode()) for r in found])))
 
 
@@ -75,16 +76,17 @@ def test_statistics_by_hand():
 
 
 def test_quality_of_odd_rows(spark, documents, nothing):
-    model = quality.fit(spark.createDataFrame(list(labelled(random.Random(3))), "doc_id bigint, text string, quality int"))
-    found = quality.score(documents, model)
+    model = quality.fit(quality.describe(spark.createDataFrame(list(labelled(random.Random(3))), "doc_id bigint, text string, quality int")))
+    clash = documents.withColumns({"stats": F.lit("x"), "predicted": F.lit("y")})
+    found = quality.score(quality.describe(clash), model)
     assert found.count() == documents.count() and found.filter("score is null or score < 0 or score > 1").count() == 0
     same = found.filter("text is null or text = ''").select("score").distinct().count()
-    assert same == 1 and dict(found.dtypes)["score"] == "double" and "h" in found.columns
-    assert quality.score(nothing, model).count() == 0
-    none = quality.fit(nothing.withColumn("quality", F.lit(1)))
-    assert {r.score for r in quality.score(documents, none).collect()} == {0.5}
-    ones = quality.fit(documents.withColumn("quality", F.lit(1)))
-    assert {r.predicted for r in quality.score(documents, ones).collect()} == {1}
+    assert same == 1 and dict(found.dtypes)["score"] == "double" and "h" in found.columns and "stats" not in found.columns
+    assert quality.score(quality.describe(nothing), model).count() == 0
+    none = quality.fit(quality.describe(nothing.withColumn("quality", F.lit(1))))
+    assert {r.score for r in quality.score(quality.describe(documents), none).collect()} == {0.5}
+    ones = quality.fit(quality.describe(documents.withColumn("quality", F.lit(1))))
+    assert {r.predicted for r in quality.score(quality.describe(documents), ones).collect()} == {1}
 
 
 # -- alignment -------------------------------------------------------------------------------------------------------
