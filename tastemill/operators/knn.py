@@ -11,11 +11,10 @@ from tastemill.functions.expressions import steady
 from tastemill.operators.blocks import (
     attach_by_key,
     attach_totals,
-    group_pairs,
-    mirrored,
     top_per_group,
 )
 from tastemill.operators.labels import select_pos
+from tastemill.operators.tiles import grid, pair_sums
 from tastemill.schema import ITEM, RANK, USER
 from tastemill.session import stored
 
@@ -72,15 +71,13 @@ def item_knn(
 ) -> DataFrame:
     """The k most similar other items of each item: (item_id, similar_item_id, score, rank).
 
-    The weights are written once, since both sides of the pairs read them.
+    The weights are written once, since both sides of the pairs read them; tiles hand on only the k best of an item.
     """
     by = list(by)
     weights = stored(knn_weights(df, weighting, weight, by))
-    aggs = {"score": F.sum(F.col("w_i") * F.col("w_j"))}
-    pairs = group_pairs(weights, [*by, USER], ITEM, ["w"], aggs, keep=by)
-    both = mirrored(
-        pairs.withColumn("score", steady("score")), {"item_i": "item_j"}
-    ).select(*by, F.col("item_i").alias(ITEM), F.col("item_j").alias("similar_item_id"), "score")
+    best = (k, lambda sums: grid(sums["dot"]))
+    pairs = pair_sums(weights, USER, ITEM, "w", ["dot"], by, best)
+    both = pairs.select(*by, F.col("item_i").alias(ITEM), F.col("item_j").alias("similar_item_id"), steady("dot").alias("score"))
     return top_per_group(both, [*by, ITEM], [F.desc("score"), F.asc("similar_item_id")], k)
 
 

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.expressions import steady
-from tastemill.operators.blocks import attach_by_key, group_pairs, mirrored, top_per_group
+from tastemill.operators.blocks import attach_by_key, top_per_group
+from tastemill.operators.tiles import grid, pair_sums
 from tastemill.schema import ITEM, RANK, USER
 from tastemill.session import stored
 
 ZERO = 1e-8  # norms at or below this count as zero
 
 
+#: The sums over co-raters that each measure needs.
+MEASURES = {
+    "adjusted_cosine": ["support", "dot", "ii", "jj"],
+    "euclidean": ["support", "dot", "ii", "jj"],
+    "manhattan": ["support", "gap"],
+    "cosine": ["support", "dot"],
+    "jaccard": ["support"],
+}
+
+
+def _tile_score(sums: dict[str, np.ndarray], measure: str, min_support: int, keep_weak: bool) -> np.ndarray:
+    """The similarity as `item_similarity` has it, from the sums of a tile."""
+    if measure == "adjusted_cosine":
+        flat = (sums["ii"] <= ZERO) | (sums["jj"] <= ZERO)
+        norms = np.where(flat, 1.0, np.sqrt(sums["ii"]) * np.sqrt(sums["jj"]))
+        sim = grid(np.where(flat, 0.0, sums["dot"] / norms))
+    elif measure == "euclidean":
+        sim = grid(np.sqrt(np.maximum(sums["ii"] + sums["jj"] - 2 * sums["dot"], 0.0)), 6)
+    else:
+        sim = grid(sums["gap"])
+    return np.where(sums["support"] < min_support, 0.0 if keep_weak else -np.inf, sim)
+
+
 def item_similarity(
     df: DataFrame,
     value: str = "norm_rating",
@@ -20,30 +45,29 @@ def item_similarity(
     measure: str = "adjusted_cosine",
     diagonal: bool = True,
     keep_weak: bool = False,
+    best: int | None = None,
 ) -> DataFrame:
     """(item_i, item_j, sim, support) in both directions, over users who rated both items.
 
     Pairs below `min_support` have similarity 0 and are left out unless `keep_weak`. `euclidean`
     and `manhattan` give distances. `cosine` divides by the norms over all raters, and `jaccard`
-    compares the sets of raters; the sums of both need the per-item totals as well.
+    compares the sets of raters; the sums of both need the per-item totals as well. With `best` only pairs that
+    can be among the `best` highest of item_i are sure to be there, for a top list that follows.
     """
-    rows = stored(df.select(USER, ITEM, F.col(value).cast("double").alias("v")))
-    vi, vj = F.col("v_i"), F.col("v_j")
-    aggs = {"support": F.count("*")}
-    if measure in ("adjusted_cosine", "euclidean"):
-        aggs |= {"_dot": F.sum(vi * vj), "_ii": F.sum(vi * vi), "_jj": F.sum(vj * vj)}
-    elif measure == "manhattan":
-        aggs["_abs"] = F.sum(F.abs(vi - vj))
-    elif measure == "cosine":
-        aggs["_dot"] = F.sum(vi * vj)
-    elif measure != "jaccard":
+    if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
+    rows = stored(df.select(USER, ITEM, F.col(value).cast("double").alias("v")))
     paired = rows
     if not keep_weak and min_support > 1:
         # An item with fewer raters than that has no pair with enough of them.
         rated = rows.groupBy(ITEM).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_support)
-        paired = rows.join(rated.select(ITEM), ITEM, "left_semi")
-    pairs = group_pairs(paired, [USER], ITEM, ["v"], aggs)
+        paired = stored(rows.join(rated.select(ITEM), ITEM, "left_semi"))
+    score = None
+    if best is not None and measure not in ("cosine", "jaccard"):
+        score = (best, lambda sums: _tile_score(sums, measure, min_support, keep_weak))
+    pairs = pair_sums(paired, USER, ITEM, "v", MEASURES[measure], best=score)
+    new = {"dot": "_dot", "ii": "_ii", "jj": "_jj", "gap": "_abs"}
+    pairs = pairs.withColumn("support", F.col("support").cast("bigint")).withColumnsRenamed(new)
     if not keep_weak and min_support > 0:
         pairs = pairs.filter(F.col("support") >= min_support)
 
@@ -76,10 +100,7 @@ def item_similarity(
     if keep_weak:
         sim = F.when(F.col("support") < min_support, F.lit(0.0)).otherwise(sim)
     digits = 6 if measure == "euclidean" else 9
-    out = mirrored(
-        pairs.select("item_i", "item_j", steady(sim, digits).alias("sim"), "support"),
-        {"item_i": "item_j"},
-    )
+    out = pairs.select("item_i", "item_j", steady(sim, digits).alias("sim"), "support")
     if not diagonal:
         return out
     same = F.lit(0.0 if measure in ("euclidean", "manhattan") else 1.0)
