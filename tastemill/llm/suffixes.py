@@ -364,8 +364,11 @@ def suffix_dedup(
 
     Removes every byte that a string of `length` bytes covers which also starts anywhere else, in the same text or
     another; all copies go. Texts count as UTF-8 bytes, null as empty; strings never cross texts. Rows alike in id and
-    text are copies of each other. `length` must be at least GRAM + WIDTH.
+    text are copies of each other; they are worked on once and each has its row. Other columns of `df` are not looked at. `length` must be at least GRAM + WIDTH.
     """
     texts = keyed_texts(df, id, text)
-    ranges = repeated_ranges(texts, length).withColumn("keep", F.lit(False))
+    # Every string of a repeated row starts in its copies too.
+    long = F.octet_length("text").cast("int")
+    again = texts.filter((F.col("copies") > 1) & (long >= length)).select("doc", F.lit(0).alias("first"), long.alias("past"))
+    ranges = repeated_ranges(texts, length).union(again).withColumn("keep", F.lit(False))
     return cut(texts, ranges, keep_text).drop("n_ranges")
