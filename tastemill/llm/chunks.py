@@ -63,9 +63,9 @@ def chunk_ends(text: bytes) -> list[int]:
     return out
 
 
-def chunk_table(texts: DataFrame) -> DataFrame:
-    """(d1, d2, id, doc, first, past): one row per chunk with its 128-bit digest."""
-    kind = texts.schema["id"].dataType.simpleString()
+def chunk_table(texts: DataFrame, *keep: str) -> DataFrame:
+    """(d1, d2, *keep, first, past): one row per chunk with its 128-bit digest and the columns `keep` of its text."""
+    kinds = [f"{k} {texts.schema[k].dataType.simpleString()}" for k in keep]
 
     def run(batches):
         for batch in batches:
@@ -81,30 +81,36 @@ def chunk_table(texts: DataFrame) -> DataFrame:
                     [
                         pa.array(pair[:, 0]),
                         pa.array(pair[:, 1]),
-                        part.column("id").take(at),
-                        part.column("doc").take(at),
+                        *(part.column(k).take(at) for k in keep),
                         pa.array([a for ss in starts for a in ss], pa.int32()),
                         pa.array([b for es in ends for b in es], pa.int32()),
                     ],
-                    names=["d1", "d2", "id", "doc", "first", "past"],
+                    names=["d1", "d2", *keep, "first", "past"],
                 )
 
-    return texts.mapInArrow(run, f"d1 bigint, d2 bigint, id {kind}, doc bigint, first int, past int")
+    schema = ", ".join(["d1 bigint", "d2 bigint", *kinds, "first int", "past int"])
+    return texts.select("text", *keep).mapInArrow(run, schema)
 
 
 def chunk_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, n_shared[, kept]): one row per row of `df`.
 
-    Every chunk is kept where it comes first (smallest id, nulls last, then place) and removed elsewhere, in the same
-    text too. n_shared counts a text's chunks that also occur elsewhere. Chunk ends depend on the bytes around them
-    and, by LEAST, on the end before: after an insertion they fall in step again within a few cuts. Rows alike in id and text are one text: each gets the same result. Null
-    and empty texts have no chunks.
+    Every chunk is kept where it comes first (smallest id, nulls last, then smallest hash of the text, then place) and
+    removed elsewhere, in the same text too. n_shared counts a text's chunks that also occur elsewhere. Chunk ends
+    depend on the bytes around them and, by LEAST, on the end before: after an insertion they fall in step again
+    within a few cuts. Rows alike in id and text are one text: each gets the same result, and their chunks count as
+    shared. Null and empty texts have no chunks. Other columns of `df` are not looked at.
+
+    The texts are cut twice instead of storing their chunks: once for the digests that occur more than once and where
+    each comes first, and once to look up those digests.
     """
     texts = keyed_texts(df, id, text)
-    chunks = stored(chunk_table(texts))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "first")
-    shared = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("best")).filter("n > 1")
+    none = "none" if texts.filter("id is null").limit(1).count() else None
+    rows = texts.withColumn("none", F.col("id").isNull()) if none else texts
+    place = F.struct(*([none] if none else []), "id", "doc", "first")
+    chunks = chunk_table(rows, *([none] if none else []), "id", "doc", "copies")
+    shared = chunks.groupBy("d1", "d2").agg(F.sum("copies").alias("n"), F.min(place).alias("best")).filter("n > 1")
     shared = stored(shared.select("d1", "d2", F.col("best.doc").alias("own"), F.col("best.first").alias("at")))
-    met = chunks.select("d1", "d2", "doc", "first", "past").join(shared, ["d1", "d2"])
+    met = chunk_table(texts, "doc").join(shared, ["d1", "d2"])
     keep = (F.col("doc") == F.col("own")) & (F.col("first") == F.col("at"))
     return cut(texts, met.select("doc", "first", "past", keep.alias("keep")), keep_text).withColumnRenamed("n_ranges", "n_shared")
