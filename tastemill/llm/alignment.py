@@ -23,7 +23,7 @@ PART = 1 << 18
 #: Characters whose tokens are aligned by one merge.
 BATCH = 1 << 20
 #: Bytes of text in a block: the documents that look their pairs up together.
-BLOCK = 64 << 20
+BLOCK = 8 << 20
 #: Fixed value: from this code point on, letter tables of regular expression libraries may differ in age.
 OLD_LETTERS = 0x250
 #: Signs above OLD_LETTERS (general punctuation to geometric shapes) that were never letters or numbers.
@@ -388,10 +388,11 @@ def align_tokenizers(
     names = ["id", *COUNTS, "n_best", "count_sum", "groups_sha256"]
 
     def look_up(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        order = np.argsort(pairs["pair"].to_numpy())
-        known = pairs["pair"].to_numpy()[order]
-        n = pairs["n"].to_numpy()[order]
-        best = pairs["best"].to_numpy(zero_copy_only=False)[order]
+        # A block without tokens has no pairs.
+        columns = ("pair", "n", "best") if pairs.num_rows else ()
+        known, n, best = [pairs[c].to_numpy() for c in columns] or [np.zeros(0, np.int64)] * 3
+        order = np.argsort(known)
+        known, n, best = known[order], n[order], best[order].astype(bool)
         n_best, sums = [], []
         for codes, times in zip(docs["codes"], docs["times"]):
             at = np.searchsorted(known, np.frombuffer(codes.as_py(), "<u4"))

@@ -190,6 +190,9 @@ def near_words(words: DataFrame) -> DataFrame:
         return df.join(tiles, "key").select(*df.columns, part, every).groupBy("key", "e", "q")
 
     def meet(entries: pa.Table, queries: pa.Table) -> pa.Table:
+        if not (entries.num_rows and queries.num_rows):
+            kinds = {"a": pa.string(), "a_n": pa.int64(), "b": pa.string(), "b_n": pa.int64()}
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
         mine, theirs = entries["word"].to_pylist(), queries["word"].to_pylist()
         own = queries["own"].to_numpy(zero_copy_only=False)
         found = [(i, j) for e, q in search(mine, theirs) for i, j in zip(e, q) if not own[j] or theirs[j] < mine[i]]

@@ -155,6 +155,8 @@ def test_alignment_by_force(spark, documents, nothing, monkeypatch):
     plain = alignment.align_tokenizers(df.repartition(5), *PATHS).collect()  # without the fast path
     assert Counter(map(tuple, plain)) == Counter(map(tuple, found))
     assert alignment.align_tokenizers(nothing, *PATHS, P.PATTERN).count() == 0
+    bare = alignment.align_tokenizers(df.filter("text is null or text = ''"), *PATHS, P.PATTERN).collect()
+    assert bare and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in bare)
 
 
 def test_parts_and_blocks_change_nothing(monkeypatch):
