@@ -538,11 +538,47 @@ def sim8(spark, d):
     return jobs.item_to_item(rated, I.items(spark, d), min_support=2, k=10, n=30)
 
 
-@query("sim9_ad_hoc_history")
+_AD_HOC = {
+    **SIM_TWO,
+    "recently": (
+        """select c.* from cen c join inter i on i.user_id = c.user_id and i.item_id = c.item_id
+        where start_date > (select max(start_date) from inter where rating is not null) - 365""",
+        ("cen", "inter"),
+    ),
+    "pcands": (
+        """select distinct user_id, item_j as item_id from recently join near on item_i = item_id
+        where (user_id, item_j) not in (select (user_id, item_id) from recently)""",
+        ("recently", "near"),
+    ),
+    "psums": (
+        """select c.user_id, s.item_i as item_id, sum(c.c * s.sim) as num, sum(abs(s.sim)) as den
+        from recently c join sim s on s.item_j = c.item_id group by 1, 2""",
+        ("recently", "sim"),
+    ),
+    "pscores": (
+        f"""select user_id, item_id, {rounded('m + case when den > 1e-8 then num / den else 0 end', 8)} as score
+        from pcands join psums using (user_id, item_id) join means using (user_id)""",
+        ("pcands", "psums", "means"),
+    ),
+}
+
+
+@query(
+    "sim9_ad_hoc_history",
+    sql(
+        """select user_id, item_id, score, rank, title from (select user_id, item_id, score,
+        row_number() over (partition by user_id order by score desc, item_id) as rank from pscores)
+        join items using (item_id) where rank <= 10""",
+        "pscores",
+        "items",
+        extra=_AD_HOC,
+    ),
+)
 def sim9(spark, d):
-    # A tenth of every user's history, by hash, scored against the full similarity table.
+    # What was rated in the last year, scored against the full similarity table.
     history, sim = _sim_two(spark, d)
-    part = history.filter(F.pmod(F.xxhash64(USER, ITEM), F.lit(10)) == 0)
+    newest = history.agg(F.max(DATE)).scalar()
+    part = stored(history.filter(F.col(DATE) > F.date_sub(newest, 365)))
     cands = similarity.candidates(part, similarity.top_neighbors(sim, 10))
     return similarity.topn_items(similarity.predict_ratings(cands, part, sim), I.items(spark, d), 10)
 
@@ -1130,7 +1166,18 @@ def f6(spark, d):
     return features.add_group_ids(rows, [USER, DATE])
 
 
-@query("f7_typed")
+@query(
+    "f7_typed",
+    sql(
+        """select l.user_id, l.item_id, l.target::tinyint as target, coalesce(age, 'unknown') as age,
+        coalesce(sex, 'unknown') as sex, coalesce(genres, 'genre_unknown') as genres, coalesce(year, 'unknown') as year,
+        l.progress::float as progress from labelled l join users using (user_id) join items using (item_id)""",
+        "labelled",
+        "users",
+        "items",
+        extra=LABEL_CTES,
+    ),
+)
 def f7(spark, d):
     rows = ranking.with_features(labelled(spark, d).select(USER, ITEM, TARGET, "progress"), I.users(spark, d), I.items(spark, d))
     return features.typed_features(rows, [USER, ITEM, TARGET])[1]
@@ -1274,13 +1321,94 @@ def t6_permutation(spark, d):
     return spark.createDataFrame(sorted(drops.items()), "feature string, auc_drop double")
 
 
-@query("jobs_prepare_samples")
+_SAMPLES = {
+    **GENRE_CTES,
+    "pknown": (
+        "select * from inter where user_id in (select user_id from users) and item_id in (select item_id from items)",
+        ("inter", "users", "items"),
+    ),
+    "pclean": (
+        """select * from pknown where progress > 0 and user_id in
+        (select user_id from pknown where progress > 0 group by user_id having count(*) > 4)""",
+        ("pknown",),
+    ),
+    "pstart": ("select max(start_date) - 60 as s from pclean", ("pclean",)),
+    "ptrain": ("select c.* from pclean c, pstart where start_date < s", ("pclean", "pstart")),
+    "ptest": (
+        """select c.* from pclean c, pstart where start_date >= s and start_date < s + 30
+        and user_id in (select user_id from ptrain) and item_id in (select item_id from ptrain)""",
+        ("pclean", "pstart", "ptrain"),
+    ),
+    "pstats": ("select user_id, coalesce(avg(rating), 0) as mr from ptrain group by user_id", ("ptrain",)),
+    **{
+        f"{part}_judged": (
+            f"""select t.user_id, t.item_id, case when rating is not null then rating < mr else progress < 10 end as neg
+            from {part} t join pstats using (user_id)""",
+            (part, "pstats"),
+        )
+        for part in ("ptrain", "ptest")
+    },
+    **{
+        f"{part}_pos": (
+            f"""select user_id, item_id from {part}_judged where not neg or user_id in
+            (select user_id from {part}_judged group by user_id having bool_and(neg))""",
+            (f"{part}_judged",),
+        )
+        for part in ("ptrain", "ptest")
+    },
+    "pplain": (
+        """select user_id, item_id from ptrain_judged where neg
+        and (user_id, item_id) not in (select (user_id, item_id) from ptrain_pos)""",
+        ("ptrain_judged", "ptrain_pos"),
+    ),
+    **_knn_ctes("ptrain_pos", "p_"),
+    "pasked": (
+        "select * from ptrain_pos where user_id not in (select user_id from pplain)",
+        ("ptrain_pos", "pplain"),
+    ),
+    "precs": (_recs_sql("pasked", "p_bm25_nbr", 20), ("pasked", "p_bm25_nbr")),
+    "samples": (
+        """select user_id, item_id, 1::tinyint as target from ptrain_pos
+        union all select user_id, item_id, 0::tinyint from pplain
+        union all select user_id, item_id, 0::tinyint from precs
+        where (user_id, item_id) not in (select (user_id, item_id) from ptrain)""",
+        ("ptrain_pos", "pplain", "precs", "ptrain"),
+    ),
+    "pkeys": (
+        "select user_id, item_id from samples union select user_id, item_id from ptest_pos",
+        ("samples", "ptest_pos"),
+    ),
+    "pusers": (
+        """select user_id, coalesce(age, 'unknown') as age, coalesce(sex, 'unknown') as sex from users
+        where user_id in (select user_id from pkeys)""",
+        ("users", "pkeys"),
+    ),
+    "pitems": (
+        "select item_id, string_split(genres, ',') as g from kept_items where item_id in (select item_id from pkeys)",
+        ("kept_items", "pkeys"),
+    ),
+}
+
+
+@query("jobs_prepare_samples", sql("select * from samples", "samples", extra=_SAMPLES))
 def prepare(spark, d):
     made = jobs.prepare_samples(I.interactions(spark, d), I.users(spark, d), I.items(spark, d), 30)
     return made.samples
 
 
-@query("jobs_network_features")
+@query(
+    "jobs_network_features",
+    sql(
+        """select 'user' as side, user_id as id, 'age_' || v as feature, (age = v)::tinyint as flag
+        from pusers, (select distinct age as v from pusers)
+        union all select 'user', user_id, 'sex_' || v, (sex = v)::tinyint from pusers, (select distinct sex as v from pusers)
+        union all select 'item', item_id, v, list_contains(g, v)::tinyint
+        from pitems, (select distinct unnest(g) as v from pitems)""",
+        "pusers",
+        "pitems",
+        extra=_SAMPLES,
+    ),
+)
 def network(spark, d):
     made = jobs.prepare_samples(I.interactions(spark, d), I.users(spark, d), I.items(spark, d), 30)
     users, items = jobs.network_features(made)
@@ -1354,6 +1482,42 @@ def x4(spark, d):
     return linalg.error_by_rank(_embeddings(spark, d))
 
 
+def _cells(recovered: DataFrame) -> DataFrame:
+    """(vec_id, pos, x): the cells of a reconstruction, which at full rank are those of the table."""
+    return recovered.select("vec_id", F.posexplode("recovered").alias("pos", "x")).withColumn("x", steady("x", 4))
+
+
+_CELLS_SQL = sql(f"select vec_id, pos::integer as pos, {rounded('x', 4)} as x from cells", "cells", extra=VEC_CTES)
+
+
+@query("x2_full_rank", _CELLS_SQL)
+def x2_full(spark, d):
+    df = _embeddings(spark, d)
+    return _cells(linalg.recover(linalg.pca(df, df.select(F.max(F.size("embedding"))).first()[0])))
+
+
+@query("x3_full_rank", _CELLS_SQL)
+def x3_full(spark, d):
+    df = _embeddings(spark, d)
+    return _cells(linalg.recover(linalg.svd(df, df.select(F.max(F.size("embedding"))).first()[0])))
+
+
+@query(
+    "x4_no_and_full_rank",
+    sql(
+        f"""select 0::integer as k, {rounded('sum((x - m) * (x - m))', 3)} as error from cells join centers using (pos)
+        union all select count(*)::integer, 0::double from centers""",
+        "cells",
+        "centers",
+        extra=VEC_CTES,
+    ),
+)
+def x4_ends(spark, d):
+    found = stored(linalg.error_by_rank(_embeddings(spark, d)))
+    ends = found.filter((F.col("k") == 0) | (F.col("k") == found.agg(F.max("k")).scalar()))
+    return ends.withColumn("error", steady("error", 3))
+
+
 @query("x5_als_trace")
 def x5(spark, d):
     return linalg.als_trace(_embeddings(spark, d), k=2)

@@ -12,11 +12,11 @@ def rows(spark, name):
     return entry.queries()[name](spark, FOLDER)
 
 
-@pytest.mark.parametrize("name", ["sim9_ad_hoc_history", "f7_typed", "x2_pca", "x3_svd", "x4_error_by_rank", "x5_als_trace", "x9_embed", "x10_project"])
+@pytest.mark.parametrize("name", ["x2_pca", "x3_svd", "x4_error_by_rank", "x5_als_trace", "x9_embed", "x10_project"])
 def test_rows_without_nulls(spark, name):
     found = rows(spark, name)
     count, *nulls = found.agg(F.count("*"), *(F.count_if(F.col(c).isNull()) for c in found.columns)).first()
-    assert count > 0 and (name in ("f7_typed", "x4_error_by_rank", "x5_als_trace") or not any(nulls))
+    assert count > 0 and (name in ("x4_error_by_rank", "x5_als_trace") or not any(nulls))
 
 
 def test_network_features_are_flags(spark):
