@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm.frames import map_text, slices, small
+from tastemill.llm.frames import slices, small
 from tastemill.session import scratch_folder, stored
 
 #: Words of one generation of a Python worker's cache. When it is full, it becomes the old one, from which words that
@@ -133,36 +133,42 @@ KEEP = ("id", "text_key", "before", "n")
 
 
 def encode_documents(df: DataFrame, path: str, end_id: int | None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, n, control, data): packed token ids with `end_id` at the end; null text counts as empty."""
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-    def work(_, raw):
-        made = []
-        for at in range(0, len(raw), 256):
-            ids = encode([t.decode("utf-8", "replace") for t in raw[at : at + 256]], path)
-            made += [(len(x) // 4 + len(tail) // 4, *pack(np.frombuffer(x + tail, "<u4"))) for x in ids]
-        return {
-            "n": pa.array([m[0] for m in made], pa.int64()),
-            "control": pa.array([m[1] for m in made], pa.binary()),
-            "data": pa.array([m[2] for m in made], pa.binary()),
-        }
+    """Rows of documents (id, text_key, n, ids), with `end_id` at the end, and rows (token, times) of each task's counts.
 
-    df = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return map_text(df, "text", ["id", "text_key"], "n bigint, control binary, data binary", work)
+    The ids of a document take two bytes each if they all fit, else four. A null text counts as empty.
+    """
+    tail = [] if end_id is None else [end_id]
+    kind = df.schema[id].dataType.simpleString()
+    names = ["id", "text_key", "n", "ids", "token", "times"]
 
+    def run(batches):
+        times, key = np.zeros(0, np.int64), pa.null()
+        for batch in batches:
+            key = batch.column("id").type
+            for part, raw in slices([batch], "text"):
+                made = []
+                for at in range(0, len(raw), 256):
+                    for x in encode([t.decode("utf-8", "replace") for t in raw[at : at + 256]], path):
+                        ids = np.append(np.frombuffer(x, "<u4"), np.array(tail, "<u4"))
+                        made.append(ids.astype("<u2") if len(ids) and ids.max() < 1 << 16 else ids)
+                counts = np.bincount(np.concatenate(made))
+                times = np.pad(times, (0, max(0, len(counts) - len(times))))
+                times[: len(counts)] += counts
+                columns = [pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())]
+                none = pa.nulls(len(raw), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *columns, none, none], names=names)
+        token = np.flatnonzero(times)
+        none = [pa.nulls(len(token), t) for t in (key, pa.int64(), pa.int64(), pa.binary())]
+        if len(token):
+            yield pa.RecordBatch.from_arrays([*none, pa.array(token), pa.array(times[token])], names=names)
 
-def frequency_ranks(ids: DataFrame) -> list[int]:
-    """Token ids by falling count, ties by id: at most one entry for each id of the vocabulary."""
+    df = df.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return df.mapInArrow(run, f"id {kind}, text_key bigint, n bigint, ids binary, token bigint, times bigint")
 
-    def count(batches):
-        for batch in batches:
-            for part, own in _unpacked(batch):
-                counts = np.bincount(np.concatenate(own)) if own else np.zeros(0, np.int64)
-                tokens = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts[tokens])], names=["token", "n"])
 
-    counts = ids.select("n", "control", "data").mapInArrow(count, "token bigint, n bigint")
-    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
+def frequency_ranks(encoded: DataFrame) -> list[int]:
+    """Token ids by falling count, ties by id: at most one entry for each id of the vocabulary."""
+    counts = encoded.filter("token is not null").groupBy("token").agg(F.sum("times").alias("n"))
     return [r.token for r in counts.orderBy(F.desc("n"), "token").select("token").collect()]
 
 
@@ -173,7 +179,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.n
         yield part, [unpack(c.as_py(), d, n.as_py()) for c, d, n in coded]
 
 
-def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> None:
+def write_token_files(encoded: DataFrame, folder: str, vocabulary: list[int]) -> None:
     """Write (shard, id, text_key, before, n, control, data) as Parquet files, in ascending id order (null first).
 
     A shard is one file: a range of ids, sorted; a document is one row. `before` is the number of ids of the
@@ -182,13 +188,15 @@ def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> Non
     """
     table = np.zeros(max(vocabulary, default=0) + 1, np.uint32)
     table[vocabulary] = np.arange(len(vocabulary), dtype=np.uint32)
-    spark = ids.sparkSession
+    spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(table)
 
     def code(batches):
         shard, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, own in _unpacked(batch):
+            for part, raw in slices([batch], "ids"):
+                wide = [len(r) == 4 * n for r, n in zip(raw, part.column("n").to_pylist())]
+                own = [np.frombuffer(r, "<u4" if w else "<u2") for r, w in zip(raw, wide)]
                 coded = [pack(shared.value[ids]) for ids in own]
                 sizes = part.column("n").to_numpy()
                 starts = before + np.cumsum(sizes) - sizes
@@ -204,7 +212,8 @@ def write_token_files(ids: DataFrame, folder: str, vocabulary: list[int]) -> Non
                 ]
                 yield pa.RecordBatch.from_arrays(made, names=["shard", *KEEP, "control", "data"])
 
-    kind = ids.schema["id"].dataType.simpleString()
+    kind = encoded.schema["id"].dataType.simpleString()
+    ids = encoded.filter("token is null").select("id", "text_key", "n", "ids")
     ranged = ids.repartitionByRange("id", "text_key").sortWithinPartitions("id", "text_key")
     coded = ranged.mapInArrow(
         code, f"shard bigint, id {kind}, text_key bigint, before bigint, n bigint, control binary, data binary"
@@ -253,13 +262,13 @@ def tokenize_to_files(
     """Encode, rank by frequency, write; returns the folder of the files.
 
     Null and empty texts have just the end id; rows with the same id keep their own ids, ordered by a hash of the
-    text; an empty table gives files without rows.
+    text; an empty table gives files without rows. Other columns of `df` are not looked at.
     """
     spark = df.sparkSession
     folder = folder or scratch_folder(spark, "tokens")
     encoded = encode_documents(df, path, end_id, id, text)
     raw = scratch_folder(spark, "ids")
     encoded.write.option("compression", "zstd").parquet(raw)
-    ids = spark.read.schema(encoded.schema).parquet(raw)
-    write_token_files(ids, folder, frequency_ranks(ids))
+    encoded = spark.read.schema(encoded.schema).parquet(raw)
+    write_token_files(encoded, folder, frequency_ranks(encoded))
     return folder
