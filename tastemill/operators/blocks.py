@@ -44,16 +44,14 @@ def ordinal_rank(
         ranged.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_rowid").bitwiseAND((1 << ROW_BITS) - 1) + 1)
-        .drop("_rowid", "_part", "_start")
+        .drop("_rowid", "_start")
     )
     if not within:
-        return ranked
-    firsts = ranked.groupBy(*within).agg(F.min(name).alias("_first"))
-    return (
-        ranked.join(firsts, list(within))
-        .withColumn(name, F.col(name) - F.col("_first") + 1)
-        .drop("_first")
-    )
+        return ranked.drop("_part")
+    # A group's first rank meets its rows by (group, partition), so a large group stays where it is spread out.
+    pieces = ranked.groupBy(*within, "_part").agg(F.min(name).alias("_low"))
+    firsts = pieces.withColumn("_first", F.min("_low").over(Window.partitionBy(*within))).drop("_low")
+    return ranked.join(firsts, [*within, "_part"]).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", "_part")
 
 
 def top_per_group(

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.expressions import genre_list, missing_as_null, tidy_list, tidy_text
-from tastemill.operators.blocks import attach_by_key
+from tastemill.operators.blocks import attach_by_key, ordinal_rank
 from tastemill.schema import DATE, ITEM, PROGRESS, RATING, USER
+from tastemill.session import stored
 
 
 def dedupe_interactions(df: DataFrame) -> DataFrame:
@@ -63,22 +64,64 @@ def genre_coverage(items: DataFrame) -> DataFrame:
     return counts.withColumn("cum_fraction", F.sum("n").over(upto) / total)
 
 
+def _cut_count(counts: DataFrame, total: int, cov: float, ways: int = 64) -> tuple[int, int]:
+    """(count, kept): genres with a greater count stay within `cov`, and of those with this count the first `kept`.
+
+    Each pass sums the counts of an interval in `ways` parts and goes on with the part in which the share is passed, so
+    the driver sees `ways` rows a pass and no row of the vocabulary.
+    """
+    low, high, above = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1, 0
+    while True:
+        step = -(-(high - low) // ways)
+        inside = counts.filter((F.col("n") >= low) & (F.col("n") < high))
+        sums = inside.groupBy(F.floor((F.col("n") - low) / step).alias("p")).agg(F.sum("n").alias("sum")).collect()
+        for part, mass in sorted(((r.p, r["sum"]) for r in sums), reverse=True):
+            if (above + mass) / total > cov:
+                break
+            above += mass
+        else:
+            return low - 1, 0
+        low, high = low + part * step, min(high, low + (part + 1) * step)
+        if high - low == 1:
+            kept = int((cov * total - above) // low)
+            while (above + (kept + 1) * low) / total <= cov:
+                kept += 1
+            while kept and (above + kept * low) / total > cov:
+                kept -= 1
+            return low, kept
+
+
+def kept_genres(items: DataFrame, cov: float) -> DataFrame:
+    """(genre): the most frequent genres whose running share stays within `cov`; ties by name."""
+    counts = stored(genre_counts(items))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return counts.select("genre")
+    count, first = _cut_count(counts, total, cov)
+    kept = counts.filter(F.col("n") > count).select("genre")
+    if not first:
+        return kept
+    ties = ordinal_rank(counts.filter(F.col("n") == count).select("genre"), [F.asc("genre")], "place")
+    return kept.union(ties.filter(F.col("place") <= first).select("genre"))
+
+
 def select_genres(items: DataFrame, cov: float, null_value: str | None = None) -> DataFrame:
-    """Keep the most frequent genres whose running share stays within `cov`."""
+    """Keep the most frequent genres whose running share stays within `cov`.
+
+    Each distinct list of genres meets the kept ones in a plain join, and the rows their list, salted.
+    """
     if not 0.0 <= cov <= 1.0:
         raise ValueError("cov must lie in [0, 1]")
-    kept = genre_coverage(items).filter(F.col("cum_fraction") <= cov)
-    vocabulary = kept.agg(F.collect_set("genre")).scalar()
-    chosen = F.array_join(
-        F.array_sort(F.array_intersect(F.array_distinct(genre_list("genres")), F.col("_kept"))), ","
-    )
-    chosen = F.when(chosen != "", chosen)
+    lists = items.select("genres").distinct().select("genres", F.explode(F.array_distinct(genre_list("genres"))).alias("genre"))
+    found = lists.join(kept_genres(items, cov), "genre").groupBy("genres").agg(F.collect_list("genre").alias("_kept"))
+    found = found.select("genres", F.array_join(F.array_sort("_kept"), ",").alias("_chosen"))
+    chosen = F.when(F.col("_chosen") != "", F.col("_chosen"))
     if null_value is not None:
         chosen = F.coalesce(chosen, F.lit(null_value))
     return (
-        items.withColumn("_kept", vocabulary)
+        attach_by_key(items, found, ["genres"], "left")
         .withColumns({"title": tidy_text("title"), "genres": chosen})
-        .drop("_kept")
+        .select(*items.columns)
     )
 
 

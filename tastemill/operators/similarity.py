@@ -182,10 +182,12 @@ def topn_items(scores: DataFrame, items: DataFrame, n: int = 30) -> DataFrame:
 
 
 def sparsity(df: DataFrame) -> DataFrame:
-    """One row: users, items, cells and the share of empty cells."""
-    users = df.select(USER).distinct().agg(F.count("*")).scalar()
-    items = df.select(ITEM).distinct().agg(F.count("*")).scalar()
-    counts = df.agg(F.count("*").alias("cells")).withColumns({"users": users, "items": items})
-    return counts.withColumn(
-        "sparsity", 1 - F.col("cells") / (F.col("users").cast("double") * F.col("items"))
-    )
+    """One row: users, items, cells and the share of empty cells, from one pass."""
+    sides = F.explode(F.array(F.struct(F.lit("u").alias("side"), F.col(USER).alias("id")), F.struct(F.lit("i").alias("side"), F.col(ITEM).alias("id"))))
+    ids = df.select(sides.alias("s")).groupBy("s.side", "s.id").agg(F.count("*").alias("n"))
+    counts = ids.agg(
+        F.sum(F.when(F.col("side") == "u", F.col("n"))).alias("cells"),
+        F.count_if((F.col("side") == "u") & F.col("id").isNotNull()).alias("users"),
+        F.count_if((F.col("side") == "i") & F.col("id").isNotNull()).alias("items"),
+    ).withColumn("cells", F.coalesce("cells", F.lit(0)))
+    return counts.withColumn("sparsity", 1 - F.col("cells") / (F.col("users").cast("double") * F.col("items")))

@@ -17,7 +17,7 @@ from tastemill.operators.folds import (
 )
 from tastemill.operators.labels import build_samples, label, select_pos, user_stats
 from tastemill.schema import FOLD, ITEM, RANK, USER
-from tastemill.session import stored
+from tastemill.session import prepare, stored
 
 COUNT_MODELS = ("popular", "popular_by_age", *knn.WEIGHTINGS)
 
@@ -33,6 +33,7 @@ def labelled_folds(
     df: DataFrame, interval_days: int, folds: int, start=None, rule: str = "fixed"
 ) -> Folds:
     """Train and test rows of all folds, labelled with the train statistics of their fold."""
+    prepare(df.sparkSession)
     df = stored(df)
     table = make_folds(df, interval_days, folds, start)
     train, test = split(df, table)
@@ -150,6 +151,7 @@ def prepare_samples(
     cov: float = 0.95,
 ) -> Prepared:
     """Training samples with guaranteed negatives, the test set, and the features both need."""
+    prepare(df.sparkSession)
     users = clean.fill_user_features(users)
     items = clean.select_genres(items, cov, "unknown")
     known = clean.filter_noise(clean.restrict_to_known(df, users, items))
@@ -189,6 +191,7 @@ def two_stage(
     **als_params,
 ) -> DataFrame:
     """Metrics of ALS alone and of ALS re-ranked by boosted trees, on the last interval."""
+    prepare(df.sparkSession)
     known = stored(clean.filter_noise(clean.restrict_to_known(df, users, items)))
     folds = make_folds(known, interval_days, 1)
     train, test = split(known, folds)
@@ -213,6 +216,7 @@ def item_to_item(
     score: str = "centered",
 ) -> DataFrame:
     """Top n items for every user by similarity to the rated history."""
+    prepare(ratings.sparkSession)
     history = stored(clean.center_ratings(ratings))
     sim = stored(similarity.item_similarity(history, min_support=min_support, diagonal=False))
     near = similarity.top_neighbors(sim, k) if k is not None else sim
