@@ -51,7 +51,7 @@ def main() -> None:
 
     def b4():
         rated = center_ratings(base["inter"].filter("rating is not null"))
-        noop(similarity.top_neighbors(similarity.item_similarity(rated, diagonal=False), 10))
+        noop(similarity.top_neighbors(similarity.item_similarity(rated, diagonal=False, best=10), 10))
 
     def b5():
         near = knn.item_knn(base["inter"], "bm25")

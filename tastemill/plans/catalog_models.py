@@ -229,6 +229,22 @@ def r8(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@query(
+    "r8_contract",
+    sql(
+        """select 'user' as side, count(distinct user_id) as factors, 64::integer as narrow, 64::integer as wide, 0::bigint as odd
+        from clean union all select 'item', count(distinct item_id), 64, 64, 0 from clean""",
+        "clean",
+    ),
+)
+def r8_contract(spark, d):
+    # One vector of 64 finite numbers for each user and each item of the interactions.
+    size, odd = F.size("features"), F.exists("features", lambda x: F.isnan(x) | (F.abs(x) > 1e6))
+    return stored(r8(spark, d)).groupBy("side").agg(
+        F.count_distinct("id").alias("factors"), F.min(size).alias("narrow"), F.max(size).alias("wide"), F.count_if(odd).alias("odd")
+    )
+
+
 def _contract(recs: DataFrame, seen: DataFrame) -> DataFrame:
     """One row: users and rows of top lists, and counts of what must not be: gaps in ranks, double and seen items."""
     lists = recs.groupBy(USER).agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct(ITEM).alias("items"))

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tastemill.operators import tiles
+from tastemill.operators import similarity, tiles
 from tastemill.session import stored
 
 
@@ -70,3 +70,15 @@ def test_the_k_best_places():
     score = np.array([5.0, 1.0, 7.0, 5.0, 1.0, 5.0])
     at = tiles._best_places(item, other, score, 2)
     assert sorted(zip(item[at], other[at])) == [(1, 2), (1, 4), (2, 1), (2, 3)]
+
+
+@pytest.mark.parametrize("measure", ["adjusted_cosine", "euclidean", "manhattan", "jaccard"])
+@pytest.mark.parametrize("support, weak", [(0, False), (2, False), (2, True)])
+def test_top_lists_from_the_best_of_a_tile(spark, measure, support, weak):
+    rows = {k[1:]: v for k, v in rated(random.Random(4), 1).items()}
+    df = spark.createDataFrame([(*k, v) for k, v in rows.items()], "user_id bigint, item_id bigint, norm_rating double")
+    lists = [
+        similarity.top_neighbors(similarity.item_similarity(df, min_support=support, measure=measure, keep_weak=weak, diagonal=False, best=b), 3)
+        for b in (None, 3)
+    ]
+    assert sorted(map(tuple, lists[0].collect())) == sorted(map(tuple, lists[1].collect()))
