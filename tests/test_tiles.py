@@ -82,3 +82,42 @@ def test_top_lists_from_the_best_of_a_tile(spark, measure, support, weak):
         for b in (None, 3)
     ]
     assert sorted(map(tuple, lists[0].collect())) == sorted(map(tuple, lists[1].collect()))
+
+
+def test_blocks_of_even_size_hand_on_only_the_best(spark, monkeypatch):
+    """Blocks a little above the planned number of pairs used to be cut by users, and then all their pairs left the tiles."""
+    monkeypatch.setattr(tiles, "PAIRS", 60)
+    rng = random.Random(8)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(60) for i in rng.sample(range(200), 6)]
+    df = stored(spark.createDataFrame(rows, "user_id bigint, item_id bigint, v double"))
+    best = tiles.pair_sums(df, "user_id", "item_id", "v", ["dot"], best=(2, lambda sums: sums["dot"])).collect()
+    lists = defaultdict(list)
+    for r in best:
+        lists[r.item_i].append(r.item_j)
+    assert max(map(len, lists.values())) == 2 and len(lists) == len({i for _, i, _ in rows})
+    twice = tiles.pair_sums(df, "user_id", "item_id", "v", ["support"], least=2).collect()
+    wanted = {(i, j): s[0] for (_, i, j), s in by_force({(0, u, i): v for u, i, v in rows}).items() if s[0] >= 2}
+    assert {(r.item_i, r.item_j): r.support for r in twice} == wanted and len(twice) == len(wanted)
+
+
+def test_a_factor_of_the_user(spark):
+    rows = [(u, i, float(i % 5 + u), float(u)) for u in range(1, 9) for i in range(u, 12)]
+    df = stored(spark.createDataFrame(rows, "user_id bigint, item_id bigint, v double, f double"))
+    apart = tiles.pair_sums(df, "user_id", "item_id", "v", ["dot", "ii"], factor="f")
+    whole = tiles.pair_sums(stored(df.selectExpr("user_id", "item_id", "v * f as v")), "user_id", "item_id", "v", ["dot", "ii"])
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("low, high", [(0, 9), (-5, 70_000), (1 << 40, (1 << 40) + 9), (-(1 << 63), (1 << 63) - 1)])
+@pytest.mark.parametrize("distinct", [3, 5000])
+def test_packed_histories(low, high, distinct):
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 9, 400)
+    items = rng.integers(low, high, sizes.sum(), dtype=np.int64)
+    items[:2] = low, high
+    values = rng.integers(0, distinct, sizes.sum()) / 7 - 1
+    tile = np.sort(rng.integers(0, 5, 400))
+    columns, first = tiles.pack(tile, sizes, items, values)
+    read = [tiles.unpack(*row) for row in zip(*(columns[c].to_pylist() for c in ("base", "width", "known", "items", "coded")))]
+    assert len(read) == len(first) == 5
+    assert (np.concatenate([r[0] for r in read]) == items).all() and (np.concatenate([r[1] for r in read]) == values).all()
