@@ -121,3 +121,22 @@ def test_packed_histories(low, high, distinct):
     read = [tiles.unpack(*row) for row in zip(*(columns[c].to_pylist() for c in ("base", "width", "known", "items", "coded")))]
     assert len(read) == len(first) == 5
     assert (np.concatenate([r[0] for r in read]) == items).all() and (np.concatenate([r[1] for r in read]) == values).all()
+
+
+def test_each_pair_once_moves_half(spark, monkeypatch):
+    """Every pair comes in one direction with the same sums, cut blocks and long histories too, and tiles get half the items."""
+    rng = np.random.default_rng(12)
+    rows = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 30, 500), rng.integers(0, 60, 500))} | {(u, 3) for u in range(30)} | {(99, i) for i in range(60)})
+    df = spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u, i in rows], "user_id bigint, item_id bigint, v double")
+    sums = ["support", "dot", "ii", "jj", "gap"]
+    both = {(r.item_i, r.item_j): r[2:] for r in tiles.pair_sums(df, "user_id", "item_id", "v", sums).collect()}
+    for pairs, piece in ((4_000_000, 4096), (60, 16)):
+        monkeypatch.setattr(tiles, "PAIRS", pairs)
+        monkeypatch.setattr(tiles, "PIECE", piece)
+        found = tiles.pair_sums(df, "user_id", "item_id", "v", sums, once=True).collect()
+        keys = {(r.item_i, r.item_j) for r in found}
+        assert len(keys) == len(found) == len(both) / 2 and not keys & {(j, i) for i, j in keys}
+        assert all(tuple(r[2:]) == tuple(both[r.item_i, r.item_j]) for r in found)
+    items, blocks = np.arange(400), 9
+    moved = [sum(len(x[5]) for x in tiles._spread(np.full(10, 40), items, items * 1.0, np.zeros(10, bool), blocks, {}, once)) for once in (False, True)]
+    assert moved[1] < 0.65 * moved[0]
