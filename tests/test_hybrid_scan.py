@@ -25,7 +25,7 @@ def test_samples_are_read_in_bounded_parts(spark, monkeypatch):
     items = spark.range(200).selectExpr("id as item_id", "concat('a', id % 7, ',b', id % 3) as genres")
     made = hybrid.hybrid_fit(samples, users, items, factors=2, iterations=1)
     assert sum(parts) == 40_000 and len([p for p in parts if p]) > 8 and max(parts) < 4000
-    assert len(made.vocabulary) == 5 + 2 + 7 + 3
+    assert len(made.vocabulary) == 5 + 7 + 3
 
 
 def test_folds_are_fitted_at_the_same_time(spark, monkeypatch):
