@@ -140,3 +140,22 @@ def test_each_pair_once_moves_half(spark, monkeypatch):
     items, blocks = np.arange(400), 9
     moved = [sum(len(x[5]) for x in tiles._spread(np.full(10, 40), items, items * 1.0, np.zeros(10, bool), blocks, {}, once)) for once in (False, True)]
     assert moved[1] < 0.65 * moved[0]
+
+
+def test_blocks_take_turns_for_the_best_partners(spark, monkeypatch):
+    """The lists of a round are written, so its shuffle is gone; all of it used to lie on the disks at a time."""
+    for name, value in (("PAIRS", 40), ("PIECE", 7), ("COPIES", 2)):
+        monkeypatch.setattr(tiles, name, value, raising=False)
+    rows = rated(random.Random(9))
+    df = stored(spark.createDataFrame([(*k, v) for k, v in rows.items()], "fold int, user_id bigint, item_id bigint, v double"))
+    best = tiles.pair_sums(df, "user_id", "item_id", "v", ["dot"], by=["fold"], best=(3, lambda sums: sums["dot"]))
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") > 1 and "Exchange" not in plan
+    found = defaultdict(list)
+    for r in best.collect():
+        found[r.fold, r.item_i].append((-r.dot, r.item_j))
+    right = defaultdict(list)
+    for (f, i, j), (_, dot, *_) in by_force(rows).items():
+        right[f, i].append((-dot, j))
+    assert found.keys() == right.keys() and all(sorted(found[k])[:3] == sorted(right[k])[:3] for k in right)
+    assert all(len(set(found[k])) == len(found[k]) for k in found)
