@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import cache
+import math
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from tastemill.session import stored
 #: Subspaces, leading coordinates of each that make its grid, width of a grid cell in radii.
 BLOCKS, GRID, CELL = 4, 2, 4.0
 #: Rows of one part of a grid cell, rows compared with a part at once, pairs measured at once.
-PART, TILE, PAIRS = 16384, 512, 1 << 14
+PART, TILE, PAIRS = 32768, 512, 1 << 14
+#: Copies of a placed row that are shuffled at a time.
+COPIES = 2
 #: What single precision may be off by.
 SLACK = 1e-5
 
@@ -189,6 +192,9 @@ def link_vectors(vectors: DataFrame, least: float) -> DataFrame:
     by at most its share. Each subspace is joined by range: a vector meets those of its grid cell and the vectors of
     other cells whose range reaches in. A cell is cut by hash into parts of about PART rows, homes and guests each,
     and every pair of parts is a group of its own. Candidates are verified in full, in doubles.
+
+    A row travels once for each part of the other side. Where that is more than COPIES times, groups take turns: the
+    links of a round are written, and its shuffle goes, before the next round begins.
     """
     kinds = "block int, x bigint, y bigint, home boolean, size int, key bigint, copies bigint, unit binary"
     cell = ["size", "block", "x", "y"]
@@ -197,12 +203,16 @@ def link_vectors(vectors: DataFrame, least: float) -> DataFrame:
     counts = placed.groupBy(*cell).agg(F.count_if("home").alias("homes"), F.count("*").alias("guests"))
     counts = counts.select(
         *cell,
+        "homes",
+        "guests",
         F.ceil(F.col("homes") / PART).cast("int").alias("h"),
         F.ceil(F.col("guests") / PART).cast("int").alias("g"),
     )
     # A cell without homes has nothing to count.
     counts = stored(counts.filter("h > 0"))
-    met = placed.join(counts, cell)
+    travels, guests, groups = counts.agg(F.sum(F.expr("homes * g + guests * h")), F.sum("guests"), F.sum(F.expr("h * g"))).first()
+    rounds = min(math.ceil((travels or 0) / (COPIES * (guests or 1))), (groups or 0) // placed.sparkSession.sparkContext.defaultParallelism)
+    met = placed.join(counts.drop("homes", "guests"), cell)
     hash = F.xxhash64("key", F.lit(3))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     homes = met.filter("home").withColumn("i", F.pmod(hash, F.col("h")).cast("int")).withColumn("j", F.explode(every("g")))
@@ -210,7 +220,6 @@ def link_vectors(vectors: DataFrame, least: float) -> DataFrame:
     guests = guests.withColumn("j", F.pmod(hash, F.col("g")).cast("int")).withColumn("i", F.explode(every("h")))
     columns = [*cell, "i", "j", "home", "key", "copies", "unit"]
     both = homes.select(*columns).unionByName(guests.select(*columns))
-    dealt = both.repartition(*cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
 
     def run(batches):
         for group in _grouped(batches, [*cell, "i", "j"]):
@@ -219,7 +228,14 @@ def link_vectors(vectors: DataFrame, least: float) -> DataFrame:
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"]
                 )
 
-    return dealt.mapInArrow(run, "a bigint, b bigint, n bigint")
+    def links(part: DataFrame) -> DataFrame:
+        dealt = part.repartition(*cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
+        return dealt.mapInArrow(run, "a bigint, b bigint, n bigint")
+
+    if rounds <= 1:
+        return links(both)
+    turn = F.pmod(F.xxhash64(*cell, "i", "j", F.lit(5)), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [stored(links(both.filter(turn == n))) for n in range(rounds)])
 
 
 def vector_groups(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:

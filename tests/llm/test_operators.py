@@ -396,6 +396,22 @@ def test_token_files(spark, documents, nothing):
 # -- vectors ---------------------------------------------------------------------------------------------------
 
 
+def test_groups_of_vectors_take_turns(spark, monkeypatch):
+    """The links of a round are written, so its shuffle is gone; all of it used to lie on the disks at a time."""
+    rng = np.random.default_rng(17)
+    near = rng.normal(size=(60, 12)).repeat(3, axis=0) + rng.normal(size=(180, 12)) * rng.uniform(0.05, 0.4, (180, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(near)], "vec_id bigint, embedding array<double>")
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    for name, value in (("PART", 8), ("COPIES", 1)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    rows = vectors.unit_vectors(df).withColumn("copies", F.lit(1).cast("bigint"))
+    plan = vectors.link_vectors(stored(rows), 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") > 1 and "Exchange" not in plan
+    found = {r.id: r.n_links for r in vectors.vector_groups(df, "vec_id", "embedding", 0.9).collect()}
+    assert found == dict(enumerate(links.tolist())) and sum(found.values())
+
+
 def test_vector_groups(spark):
     rng = np.random.default_rng(13)
     base = rng.normal(size=(40, 12))
